@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
+from . import line_dedup, quality_rules
 from ._shared import table
 
 
@@ -99,5 +99,45 @@ SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ba
 FROM b LEFT JOIN h ON b.lang IS NOT DISTINCT FROM h.lang AND b.source IS NOT DISTINCT FROM h.source
 """
 
-QUERIES = {"op10_quality_rules": op10_quality_rules}
-ORACLE_SQL = {"op10_quality_rules": OP10_SQL}
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the lines that no earlier line repeats."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs).select("doc_id", "text", "n_lines", "n_removed", "emptied")
+
+
+OP8_SQL = r"""
+WITH raw AS (
+  SELECT doc_id, text, unnest(string_split(coalesce(text, ''), chr(10))) AS raw_line,
+         unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents
+), lines AS (
+  SELECT doc_id, pos, raw_line, trim(raw_line, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) AS line FROM raw
+), firsts AS (
+  SELECT line, length(line) AS n, min((doc_id * 1000000 + pos)) AS first_at FROM lines WHERE line <> '' GROUP BY line
+), spots AS (
+  SELECT line, n, first_at, unnest(range(n)) AS o FROM firsts WHERE n >= 20
+), variants AS (
+  SELECT line, n, first_at, o, hash(left(line, CAST(o AS INTEGER)) || substr(line, CAST(o AS INTEGER) + 2)) AS v FROM spots
+), equal_length AS (
+  SELECT line, first_at, min(first_at) OVER (PARTITION BY n, o, v) AS earliest FROM variants
+), near AS (
+  SELECT line FROM equal_length WHERE earliest < first_at
+  UNION
+  SELECT CASE WHEN a.first_at > b.first_at THEN a.line ELSE b.line END
+  FROM variants a JOIN firsts b ON a.v = hash(b.line) AND a.n = b.n + 1 AND b.n >= 20
+), marked AS (
+  SELECT l.doc_id, l.pos, l.raw_line, l.line <> '' AS has_word,
+         l.line <> '' AND (l.doc_id * 1000000 + l.pos <> f.first_at OR near.line IS NOT NULL) AS gone
+  FROM lines l LEFT JOIN firsts f ON l.line = f.line LEFT JOIN near ON l.line = near.line
+), counted AS (
+  SELECT doc_id, coalesce(string_agg(raw_line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS left_over,
+         CAST(count(*) FILTER (WHERE has_word) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_removed
+  FROM marked GROUP BY doc_id
+)
+SELECT d.doc_id, CASE WHEN n_removed = 0 THEN d.text ELSE left_over END AS text, n_lines, n_removed,
+       n_removed > 0 AND n_removed = n_lines AS emptied
+FROM documents d JOIN counted USING (doc_id)
+"""
+
+QUERIES = {"op8_line_dedup": op8_line_dedup, "op10_quality_rules": op10_quality_rules}
+ORACLE_SQL = {"op8_line_dedup": OP8_SQL, "op10_quality_rules": OP10_SQL}
