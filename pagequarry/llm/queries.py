@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, quality_rules
+from . import line_dedup, near_dup, quality_rules
 from ._shared import table
 
 
@@ -139,5 +139,10 @@ SELECT d.doc_id, CASE WHEN n_removed = 0 THEN d.text ELSE left_over END AS text,
 FROM documents d JOIN counted USING (doc_id)
 """
 
-QUERIES = {"op8_line_dedup": op8_line_dedup, "op10_quality_rules": op10_quality_rules}
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of near copies of every document."""
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op3_near_dedup": op3_near_dedup, "op8_line_dedup": op8_line_dedup, "op10_quality_rules": op10_quality_rules}
 ORACLE_SQL = {"op8_line_dedup": OP8_SQL, "op10_quality_rules": OP10_SQL}
