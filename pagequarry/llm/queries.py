@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, near_dup, quality_rules
+from . import line_dedup, mixing, near_dup, quality_rules
 from ._shared import table
 
 
@@ -144,5 +144,70 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_near_dedup": op3_near_dedup, "op8_line_dedup": op8_line_dedup, "op10_quality_rules": op10_quality_rules}
-ORACLE_SQL = {"op8_line_dedup": OP8_SQL, "op10_quality_rules": OP10_SQL}
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the production mixture, a row for each epoch that takes one."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return mixing.mix(docs).select("doc_id", "epoch", "domain", "lang", "source", "n_tokens")
+
+
+def _fill_sql(name: str, level: str, above: list[str], node: str) -> str:
+    """One level of water-filling, as ``mixing._fill``."""
+    keys = ", ".join([*above, level])
+    by = f"PARTITION BY {', '.join(above)}" if above else ""
+    source = f"{name}_c JOIN {node} USING ({', '.join(above)})" if above else f"{name}_c CROSS JOIN {node}"
+    names = " ".join(f"WHEN '{k}' THEN {v}" for k, v in mixing.WEIGHTS.items())
+    return f"""
+{name}_c AS (
+  SELECT {keys}, CAST(sum(tokens * {mixing.MAX_EPOCHS}) AS HUGEINT) AS capacity,
+         CAST(CASE {level} {names} ELSE {mixing.OTHER_WEIGHT} END AS HUGEINT) AS weight FROM leaves WHERE tokens > 0 GROUP BY {keys}
+), {name}_a AS (
+  SELECT {keys}, capacity, weight, budget, CAST(capacity AS DOUBLE) / CAST(weight AS DOUBLE) AS r FROM {source}
+), {name}_b AS (
+  SELECT *, CAST(coalesce(sum(capacity) OVER ({by} ORDER BY r, {level} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS HUGEINT) AS filled,
+         CAST(sum(weight) OVER ({by} ORDER BY r, {level} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS HUGEINT) AS weights FROM {name}_a
+), {name}_d AS (
+  SELECT *, (budget - filled) * weight >= capacity * weights AS is_full FROM {name}_b
+), {name}_e AS (
+  SELECT *, CAST(coalesce(sum(CASE WHEN is_full THEN capacity END) OVER ({by}), 0) AS HUGEINT) AS taken,
+         CAST(sum(CASE WHEN NOT is_full THEN weight END) OVER ({by}) AS HUGEINT) AS open_weight FROM {name}_d
+), {name}_f AS (
+  SELECT *, CASE WHEN is_full THEN capacity ELSE ((budget - taken) * weight) // open_weight END AS part,
+         CASE WHEN NOT is_full THEN ((budget - taken) * weight) % open_weight END AS rest FROM {name}_e
+), {name}_g AS (
+  SELECT *, budget - CAST(sum(part) OVER ({by}) AS HUGEINT) AS spare,
+         row_number() OVER ({by} ORDER BY rest DESC NULLS LAST, {level}) AS place FROM {name}_f
+), {name} AS (
+  SELECT {keys}, part + CASE WHEN NOT is_full AND place <= spare AND part < capacity THEN 1 ELSE 0 END AS budget FROM {name}_g
+)"""
+
+
+OP2_SQL = rf"""
+WITH tokens AS (
+  SELECT doc_id, coalesce(lang, 'unknown') AS lang, coalesce(source, 'unknown') AS source, lang AS lang0, source AS source0,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS BIGINT) AS n,
+         CASE WHEN NOT regexp_matches(coalesce(source, ''), '\d$') THEN 'unknown'
+              ELSE list_extract(['web', 'books', 'forums', 'news'], CAST(regexp_extract(source, '(\d{{1,9}})$', 1) AS INTEGER) % 4 + 1) END AS domain
+  FROM documents
+), leaves AS (
+  SELECT domain, lang, source, sum(n) AS tokens FROM tokens GROUP BY ALL
+), root AS (
+  SELECT least(CAST(sum(tokens) AS HUGEINT) * {mixing.BUDGET_PERCENT} // 100, CAST(sum(tokens) AS HUGEINT) * {mixing.MAX_EPOCHS}) AS budget FROM leaves
+), {_fill_sql("top", "domain", [], "root")}, {_fill_sql("mid", "lang", ["domain"], "top")}, {_fill_sql("low", "source", ["domain", "lang"], "mid")}, plan AS (
+  SELECT leaves.domain, leaves.lang, leaves.source,
+         CASE WHEN tokens = 0 THEN 1 ELSE budget // tokens END AS whole,
+         CASE WHEN tokens = 0 THEN 0 ELSE budget - budget // tokens * tokens END AS part_left
+  FROM leaves LEFT JOIN low USING (domain, lang, source)
+), keyed AS (
+  SELECT t.*, whole, part_left, md5(concat_ws(':', '{mixing.SEED}', CAST(CAST(whole + 1 AS BIGINT) AS VARCHAR), CAST(doc_id AS VARCHAR))) AS k
+  FROM tokens t JOIN plan USING (domain, lang, source)
+), summed AS (
+  SELECT *, sum(n) OVER (PARTITION BY domain, lang, source ORDER BY k, n) AS running FROM keyed
+), times AS (
+  SELECT *, CAST(whole + CASE WHEN part_left > 0 AND running <= part_left THEN 1 ELSE 0 END AS INTEGER) AS c FROM summed
+)
+SELECT doc_id, epoch, domain, lang0 AS lang, source0 AS source, n AS n_tokens
+FROM (SELECT *, CAST(unnest(range(1, c + 1)) AS INTEGER) AS epoch FROM times WHERE c > 0)
+"""
+
+QUERIES = {"op2_source_mixing": op2_source_mixing, "op3_near_dedup": op3_near_dedup, "op8_line_dedup": op8_line_dedup, "op10_quality_rules": op10_quality_rules}
+ORACLE_SQL = {"op2_source_mixing": OP2_SQL, "op8_line_dedup": OP8_SQL, "op10_quality_rules": OP10_SQL}
