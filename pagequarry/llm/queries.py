@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, mixing, near_dup, quality_rules
+from . import bpe, line_dedup, mixing, near_dup, quality_rules
 from ._shared import table
 
 
@@ -184,7 +185,8 @@ def _fill_sql(name: str, level: str, above: list[str], node: str) -> str:
 OP2_SQL = rf"""
 WITH tokens AS (
   SELECT doc_id, coalesce(lang, 'unknown') AS lang, coalesce(source, 'unknown') AS source, lang AS lang0, source AS source0,
-         CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS BIGINT) AS n,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS BIGINT) AS n,
          CASE WHEN NOT regexp_matches(coalesce(source, ''), '\d$') THEN 'unknown'
               ELSE list_extract(['web', 'books', 'forums', 'news'], CAST(regexp_extract(source, '(\d{{1,9}})$', 1) AS INTEGER) % 4 + 1) END AS domain
   FROM documents
@@ -209,5 +211,14 @@ SELECT doc_id, epoch, domain, lang0 AS lang, source0 AS source, n AS n_tokens
 FROM (SELECT *, CAST(unnest(range(1, c + 1)) AS INTEGER) AS epoch FROM times WHERE c > 0)
 """
 
-QUERIES = {"op2_source_mixing": op2_source_mixing, "op3_near_dedup": op3_near_dedup, "op8_line_dedup": op8_line_dedup, "op10_quality_rules": op10_quality_rules}
+#: Where the tokenizer's vocabulary lies; another file of its kind can be given to the operator.
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids and of what they decode to."""
+    return bpe.digests(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+QUERIES = {"op7_bpe": op7_bpe, "op2_source_mixing": op2_source_mixing, "op3_near_dedup": op3_near_dedup, "op8_line_dedup": op8_line_dedup, "op10_quality_rules": op10_quality_rules}
 ORACLE_SQL = {"op2_source_mixing": OP2_SQL, "op8_line_dedup": OP8_SQL, "op10_quality_rules": OP10_SQL}
