@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, mixing, near_dup, quality_rules
+from . import bpe, line_dedup, mixing, near_dup, quality_rules, secrets
 from ._shared import table
 
 
@@ -220,5 +221,11 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
-QUERIES = {"op7_bpe": op7_bpe, "op2_source_mixing": op2_source_mixing, "op3_near_dedup": op3_near_dedup, "op8_line_dedup": op8_line_dedup, "op10_quality_rules": op10_quality_rules}
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every document."""
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_random")
+
+
+QUERIES = {"op7_bpe": op7_bpe, "op9_secrets": op9_secrets, "op2_source_mixing": op2_source_mixing, "op3_near_dedup": op3_near_dedup, "op8_line_dedup": op8_line_dedup, "op10_quality_rules": op10_quality_rules}
 ORACLE_SQL = {"op2_source_mixing": OP2_SQL, "op8_line_dedup": OP8_SQL, "op10_quality_rules": OP10_SQL}
