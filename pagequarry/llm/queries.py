@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, mixing, near_dup, quality_rules, secrets
-from ._shared import table
+from . import bpe, line_dedup, media, mixing, near_dup, quality_rules, secrets
+from ._shared import table, written
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,5 +227,11 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_random")
 
 
-QUERIES = {"op7_bpe": op7_bpe, "op9_secrets": op9_secrets, "op2_source_mixing": op2_source_mixing, "op3_near_dedup": op3_near_dedup, "op8_line_dedup": op8_line_dedup, "op10_quality_rules": op10_quality_rules}
+def op6_media_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document stored as a media file, read back and sniffed."""
+    stored = written(media.store_waves(table(spark, sf_dir, "documents")), "media")
+    return media.digests(stored)
+
+
+QUERIES = {"op6_media_sniffing": op6_media_sniffing, "op7_bpe": op7_bpe, "op9_secrets": op9_secrets, "op2_source_mixing": op2_source_mixing, "op3_near_dedup": op3_near_dedup, "op8_line_dedup": op8_line_dedup, "op10_quality_rules": op10_quality_rules}
 ORACLE_SQL = {"op2_source_mixing": OP2_SQL, "op8_line_dedup": OP8_SQL, "op10_quality_rules": OP10_SQL}
