@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, media, mixing, near_dup, quality_rules, secrets
+from . import bpe, line_dedup, media, mixing, near_dup, quality_rules, secrets, warc
 from ._shared import table, written
 
 
@@ -233,5 +233,23 @@ def op6_media_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(stored)
 
 
-QUERIES = {"op6_media_sniffing": op6_media_sniffing, "op7_bpe": op7_bpe, "op9_secrets": op9_secrets, "op2_source_mixing": op2_source_mixing, "op3_near_dedup": op3_near_dedup, "op8_line_dedup": op8_line_dedup, "op10_quality_rules": op10_quality_rules}
-ORACLE_SQL = {"op2_source_mixing": OP2_SQL, "op8_line_dedup": OP8_SQL, "op10_quality_rules": OP10_SQL}
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives and read back from them."""
+    path = warc.write_archives(table(spark, sf_dir, "pages"))
+    return warc.payload_report(warc.reassemble(warc.read_archives(spark, path)))
+
+
+OP5_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes FROM pages
+), h AS (
+  SELECT html, max(page_id) AS head FROM p WHERE payload_bytes >= 1000 GROUP BY html
+)
+SELECT page_id, payload_bytes, sha1(p.html) AS payload_digest,
+       CASE WHEN head <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN head <> page_id THEN head END AS refers_to
+FROM p LEFT JOIN h ON p.html = h.html
+"""
+
+QUERIES = {"op5_warc": op5_warc, "op6_media_sniffing": op6_media_sniffing, "op7_bpe": op7_bpe, "op9_secrets": op9_secrets, "op2_source_mixing": op2_source_mixing, "op3_near_dedup": op3_near_dedup, "op8_line_dedup": op8_line_dedup, "op10_quality_rules": op10_quality_rules}
+ORACLE_SQL = {"op2_source_mixing": OP2_SQL, "op5_warc": OP5_SQL, "op8_line_dedup": OP8_SQL, "op10_quality_rules": OP10_SQL}
