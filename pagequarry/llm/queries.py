@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, media, mixing, near_dup, quality_rules, secrets, warc
+from . import bpe, html_main, line_dedup, media, mixing, near_dup, quality_rules, secrets, warc
 from ._shared import table, written
 
 
@@ -251,5 +251,10 @@ SELECT page_id, payload_bytes, sha1(p.html) AS payload_digest,
 FROM p LEFT JOIN h ON p.html = h.html
 """
 
-QUERIES = {"op5_warc": op5_warc, "op6_media_sniffing": op6_media_sniffing, "op7_bpe": op7_bpe, "op9_secrets": op9_secrets, "op2_source_mixing": op2_source_mixing, "op3_near_dedup": op3_near_dedup, "op8_line_dedup": op8_line_dedup, "op10_quality_rules": op10_quality_rules}
+def op1_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_main.main_text(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {"op1_html_main_text": op1_html_main_text, "op5_warc": op5_warc, "op6_media_sniffing": op6_media_sniffing, "op7_bpe": op7_bpe, "op9_secrets": op9_secrets, "op2_source_mixing": op2_source_mixing, "op3_near_dedup": op3_near_dedup, "op8_line_dedup": op8_line_dedup, "op10_quality_rules": op10_quality_rules}
 ORACLE_SQL = {"op2_source_mixing": OP2_SQL, "op5_warc": OP5_SQL, "op8_line_dedup": OP8_SQL, "op10_quality_rules": OP10_SQL}
