@@ -1,5 +1,57 @@
-"""A training corpus from the documents table, stage by stage."""
-STAGES = []
+"""A training corpus from the documents table, stage by stage.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as
+Parquet and read again as the next stage's docs. All stages but the last return
+the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pagequarry.llm import bpe, line_dedup, mixing, near_dup, quality_rules
+from pagequarry.llm._shared import table, written
+from pagequarry.llm.queries import TOKENIZER
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return quality_rules.apply_rules(docs).where("kept").select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that an earlier line repeats; one that has no line left goes."""
+    deduped = line_dedup.dedup_lines(docs).where("not emptied")
+    return deduped.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each group of near copies."""
+    return near_dup.drop_near_duplicates(docs).select(*docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The production mixture; a document comes once for each epoch that takes it."""
+    return mixing.mix(docs).select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, with digests of the ids and of what they decode to."""
+    return bpe.encode_documents(docs, TOKENIZER)
+
+
+STAGES = [("quality rules", quality), ("line dedup", lines), ("near-duplicates", near), ("mixture", mixture), ("tokens", tokens)]
+
+#: MinHash components and tokenization are beyond SQL; tests compare with a brute-force version.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table of sf_dir."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = written(docs, f"stage-{k}")
+    return docs

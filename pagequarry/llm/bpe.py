@@ -209,9 +209,14 @@ def decode_column(docs: DataFrame, path: str, ids: str = "ids", text: str = "dec
     return docs.withColumn(text, decode(F.col(ids)))
 
 
-def digests(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row: encoded, then decoded from the ids, in one pass."""
+def encode_documents(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
+    """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256) of each row: encoded, then decoded from the ids, in one pass.
+
+    The digests are of the ids as little-endian 32-bit integers and of the decoded
+    text in UTF-8; ids (array<int>) are left out without ``with_ids``.
+    """
     spec = docs.sparkSession.sparkContext.broadcast(read_spec(path))
+    names = ["doc_id", "n_tokens", *["ids"] * with_ids, "ids_sha256", "decoded_sha256"]
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = tokenizer_of(spec.value)
@@ -219,8 +224,10 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
             out = []
             for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
                 ids = t.encode(text or "")
-                out.append((doc_id, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(t.decode(ids).encode()).hexdigest()))
-            yield pd.DataFrame(out, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                numbers = [np.frombuffer(ids, "<i4")] * with_ids
+                out.append((doc_id, len(ids) // 4, *numbers, hashlib.sha256(ids).hexdigest(), hashlib.sha256(t.decode(ids).encode()).hexdigest()))
+            yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
 
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return source.mapInPandas(rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    types = {"doc_id": "long", "n_tokens": "long", "ids": "array<int>"}
+    return source.mapInPandas(rows, ", ".join(f"{n} {types.get(n, 'string')}" for n in names))

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import written
+from ._shared import broadcast_if_small, written
 from .components import components
 
 SHINGLE = 5
@@ -50,6 +50,8 @@ PERCENT = 75
 #: Lowest estimate that is confirmed on the full sets: five standard deviations below 0.75.
 SKETCH_MIN = 0.62
 LAST = 2**63 - 1
+#: Most dropped doc_ids that are broadcast (8 bytes each).
+BROADCAST_ROWS = 500_000
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -253,5 +255,6 @@ def _labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """docs without the rows that are near copies of a document with a smaller doc_id; of rows with equal doc_id all stay."""
-    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    gone = written(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "near-gone")
+    gone = broadcast_if_small(gone, BROADCAST_ROWS)
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_main, line_dedup, media, mixing, near_dup, quality_rules, secrets, warc
+from . import bpe, html_main, line_dedup, media, mixing, near_dup, pii, quality_rules, secrets, warc
 from ._shared import table, written
 
 
@@ -218,7 +218,7 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of what they decode to."""
-    return bpe.digests(table(spark, sf_dir, "documents"), TOKENIZER)
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), TOKENIZER, with_ids=False)
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -256,5 +256,11 @@ def op1_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.main_text(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op1_html_main_text": op1_html_main_text, "op5_warc": op5_warc, "op6_media_sniffing": op6_media_sniffing, "op7_bpe": op7_bpe, "op9_secrets": op9_secrets, "op2_source_mixing": op2_source_mixing, "op3_near_dedup": op3_near_dedup, "op8_line_dedup": op8_line_dedup, "op10_quality_rules": op10_quality_rules}
+def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with surrogates for personal data."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.replace_pii(docs)
+
+
+QUERIES = {"op4_pii_surrogates": op4_pii_surrogates, "op1_html_main_text": op1_html_main_text, "op5_warc": op5_warc, "op6_media_sniffing": op6_media_sniffing, "op7_bpe": op7_bpe, "op9_secrets": op9_secrets, "op2_source_mixing": op2_source_mixing, "op3_near_dedup": op3_near_dedup, "op8_line_dedup": op8_line_dedup, "op10_quality_rules": op10_quality_rules}
 ORACLE_SQL = {"op2_source_mixing": OP2_SQL, "op5_warc": OP5_SQL, "op8_line_dedup": OP8_SQL, "op10_quality_rules": OP10_SQL}
