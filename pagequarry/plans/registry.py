@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from . import content
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+for _module in (content,):
+    QUERIES |= _module.QUERIES
+    ORACLE_SQL |= _module.ORACLE_SQL
