@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import content
+from . import content, metrics
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _module in (content,):
+for _module in (content, metrics):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
