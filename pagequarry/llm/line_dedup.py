@@ -51,13 +51,12 @@ def _parts(line: Column, length: Column, a: Column, start: Column, end: Column)
 
 
 def _half_keys() -> Column:
-    """Keys of the two halves, for the line as the shorter (or equally long) and as the longer of a pair."""
-    found = []
-    for a in (F.col("len"), F.col("len") - 1):
-        for j in (0, 1):
-            start, end = (F.floor(a * j / 2)).cast("int"), F.floor(a * (j + 1) / 2).cast("int")
-            found.append(F.xxhash64(a, F.lit(j), *_parts(F.col("line"), F.col("len"), a, start, end)))
-    return F.array(*found)
+    """Keys of the halves that one edit can leave alone: beginnings and ends of half the length, shorter or longer by one."""
+    half, line = F.expr("len div 2").cast("int"), F.col("line")
+    odd = F.col("len") % 2 == 1
+    begins = lambda n: F.xxhash64(F.lit(0), F.substring(line, F.lit(1), n))
+    ends = lambda n: F.xxhash64(F.lit(1), F.substring(line, F.col("len") - n + 1, n))
+    return F.array(begins(half), ends(half), F.when(odd, ends(half + 1)).otherwise(begins(half - 1)))
 
 
 def _first_lines(docs: DataFrame) -> DataFrame:
@@ -68,7 +67,8 @@ def _first_lines(docs: DataFrame) -> DataFrame:
 
 def _shared(rows: DataFrame, key: str) -> DataFrame:
     """The rows whose key occurs on two rows or more."""
-    return rows.join(rows.groupBy(key).agg(F.count("*").alias("__n")).where("__n > 1").select(key), key, "left_semi")
+    keys = rows.groupBy(key).agg(F.count("*").alias("__n")).where("__n > 1").select(key)
+    return rows.join(broadcast_if_small(written(keys, "line-keys"), BROADCAST_ROWS), key, "left_semi")
 
 
 def _variants(texts: DataFrame) -> DataFrame:
@@ -112,8 +112,9 @@ def _near_lines(texts: DataFrame) -> DataFrame:
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(d, th, gone): for each document that loses lines, the sorted numbers of these lines."""
     firsts = written(_first_lines(docs), "line-firsts")
-    keyed = firsts.where("len >= " + str(MIN_NEAR)).select("h", "len", "first", F.explode(F.array_distinct("keys")).alias("key"))
-    maybe = written(_shared(keyed, "key").select("h", "len", "first").distinct(), "line-maybe")
+    keyed = firsts.where("keys is not null").select("h", F.explode("keys").alias("key"))
+    halves = broadcast_if_small(written(_shared(keyed, "key").select("h").distinct(), "line-halves"), BROADCAST_ROWS)
+    maybe = written(firsts.where("keys is not null").join(halves, "h", "left_semi").select("h", "len", "first"), "line-maybe")
     at = F.struct("d", "pos", "th")
     texts = _lines(docs).join(broadcast_if_small(maybe, BROADCAST_ROWS), ["h", "len"]).where(at == F.col("first")).select("h", "len", "first", "line")
     texts = written(texts.dropDuplicates(["h", "len"]), "line-texts")
