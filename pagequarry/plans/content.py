@@ -141,23 +141,6 @@ def w11(spark, sf):
     return table(spark, sf, "pages").select("page_id", title).groupBy("title").agg(F.count("*").alias("pages"), F.min("page_id").alias("first_page")).where("pages > 1")
 
 
-_JS = ("__NEXT_DATA__", "data-reactroot", "ng-app", "v-app", 'id="__nuxt"', "window.__INITIAL_STATE__", "ember-application", "data-svelte", 'id="root"></div>', 'id="app"></div>')
-
-
-@query(
-    "h12_js_shell",
-    r"SELECT page_id, " + " OR ".join(f"contains(html, '{m}')" for m in _JS) + r" OR (length(html) > 5000 AND len(regexp_extract_all(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[^ \n\t]+')) < 50) AS js_shell FROM pages",
-)
-def h12(spark, sf):
-    """Pages that need a browser: a framework's marker, or much markup with few words."""
-    html = F.col("html")
-    marked = F.lit(False)
-    for m in _JS:
-        marked = marked | html.contains(m)
-    few = F.regexp_count(F.regexp_replace(html, "<[^>]*>", " "), F.lit(r"[^ \n\t]+")) < 50
-    return table(spark, sf, "pages").select("page_id", (marked | ((F.length(html) > 5000) & few)).alias("js_shell"))
-
-
 @query(
     "t01_tokens",
     "SELECT doc_id, CAST(len(ts) AS BIGINT) AS tokens, CAST(len(list_distinct(ts)) AS BIGINT) AS unique_tokens FROM (SELECT doc_id, regexp_extract_all(lower(text), '[A-Za-z][A-Za-z''\\-]*') AS ts FROM documents)",

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import content, metrics
+from . import content, metrics, sites
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _module in (content, metrics):
+for _module in (content, metrics, sites):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
