@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pagequarry.functions import urls
-from pagequarry.operators import sections, text_quality
+from pagequarry.operators import claims, sections, text_quality
 
 from ._sql import AUTHORITY, HOST, PATH, SECTION, listed, table
 
@@ -240,3 +240,18 @@ def l06(spark, sf):
     """Ordered dedupe: of equal turns, the first."""
     first = Window.partitionBy("role", "text").orderBy("conv_id", "turn")
     return table(spark, sf, "conversations").withColumn("k", F.row_number().over(first)).where("k = 1").select("conv_id", "turn", "role")
+
+
+@query("t07_claims")
+def t07(spark, sf):
+    return claims.claims(table(spark, sf, "documents"))
+
+
+@query("t09_claim_summary")
+def t09(spark, sf):
+    return claims.claim_summary(table(spark, sf, "documents"))
+
+
+@query("t10_rewriting")
+def t10(spark, sf):
+    return claims.rewrite(table(spark, sf, "documents")).select("doc_id", "change_count", F.sha2("cleaned", 256).alias("cleaned_sha256"))
