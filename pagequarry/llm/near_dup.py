@@ -5,25 +5,27 @@ holds its distinct five-word shingles (all its words as one where it has fewer),
 each as a 64-bit hash. Two documents are linked if their Jaccard similarity is
 0.75 or more; components of linked documents form the groups.
 
-1. ``signatures`` (Arrow batches, numpy) makes 300 MinHash samples of each set, 50
-   band keys of six samples, and the odd sketch: every (sample number, value) is
-   hashed to one of 2048 bits, and a bit is 1 if an odd number fell on it. The
+1. ``signatures`` (Arrow batches, numpy) makes 180 MinHash samples of each set, 36
+   band keys of five samples, and the odd sketch: every (sample number, value) is
+   hashed to one of 1024 bits, and a bit is 1 if an odd number fell on it. The
    XOR of two sketches is the sketch of the samples in which they differ, so its
-   population count estimates high similarities closely.
+   population count estimates high similarities closely. A second sketch of 2048
+   bits folds the whole set in the same way; the XOR of two of these estimates the
+   size of the symmetric difference, more closely for all but the longest texts.
+   A candidate must pass both.
 2. Documents with equal sets are one class; only the smallest doc_id goes on.
 3. Candidates come from bands. In each band's bucket every document meets the
-   bucket's most central document (the one with most company over all bands),
-   its smallest, and one by hash: rows grow with the bucket, not with its square.
-   Sketches drop candidates whose estimate is below ``SKETCH_MIN``; the rest are
-   confirmed on the full sets.
-4. Components of confirmed links (star contraction, written at each round).
-5. What star candidates can miss: documents of one bucket that lie in different
-   components. A join over such buckets, with the sketch test in its condition,
-   finds them; new links are confirmed and the components joined. This repeats
-   the star step until the buckets agree, then does the join.
-
-A pair at similarity 0.75 shares no band with probability 5e-5, and fails the
-sketch test with less than 1e-6. Nulls and texts without words have an empty set
+   bucket's most central document (the one with most company over all bands);
+   sketches estimate the similarities, and each document's best hub is confirmed
+   on the full sets. So rows grow with the bucket, not with its square.
+4. Components of confirmed links (star contraction, written at each round); buckets
+   whose documents lie in different components have another round, with new hubs.
+5. What the rounds can miss: documents of one bucket that still lie in different
+   components. A join over these buckets alone, with the sketch test in its
+   condition, finds them; new links are confirmed and the components joined.
+
+A pair at similarity 0.75 shares no band with probability 6e-5, and fails the
+sketch test with about 3e-5; both fall quickly above. Nulls and texts without words have an empty set
 and are linked with nothing; a null doc_id counts as the largest. Rows with equal
 doc_id are one document for the links.
 """
@@ -42,15 +44,16 @@ from ._shared import broadcast_if_small, written
 from .components import components
 
 SHINGLE = 5
-BANDS, ROWS = 50, 6
+BANDS, ROWS = 36, 5
 SAMPLES = BANDS * ROWS
-BITS = 2048
+BITS = 1024
+SET_BITS = 2048
 #: Similarity is confirmed as 100 * |A and B| >= 75 * |A or B|.
 PERCENT = 75
-#: Lowest estimate that is confirmed on the full sets: five standard deviations below 0.75.
+#: Lowest estimate that is confirmed on the full sets: four standard deviations below 0.75.
 SKETCH_MIN = 0.62
 LAST = 2**63 - 1
-#: Most dropped doc_ids that are broadcast (8 bytes each).
+#: Most rows of a list of documents or classes that is broadcast (at most 40 bytes each).
 BROADCAST_ROWS = 500_000
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -104,14 +107,20 @@ def odd_sketch(samples: np.ndarray) -> np.ndarray:
     return np.packbits(parity).view(np.int64)
 
 
+def set_sketch(shingles: np.ndarray) -> np.ndarray:
+    """The parity bitmap of a whole set."""
+    parity = (np.bincount((shingles % np.uint64(SET_BITS)).astype(np.int64), minlength=SET_BITS) & 1).astype(np.uint8)
+    return np.packbits(parity).view(np.int64)
+
+
 def band_keys(samples: np.ndarray) -> np.ndarray:
-    """One 64-bit key per band of ROWS samples."""
+    """One key per band of ROWS samples: the band's number above 32 bits of hash."""
     s = samples.reshape(BANDS, ROWS).astype(np.uint64)
     out = np.arange(BANDS, dtype=np.uint64)
     with np.errstate(over="ignore"):
         for k in range(ROWS):
             out = _mixed((out + s[:, k]) * _MULTIPLIER)
-    return out.view(np.int64)
+    return ((np.arange(BANDS, dtype=np.uint64) << np.uint64(32)) | (out >> np.uint64(32))).view(np.int64)
 
 
 def _signature_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -122,21 +131,30 @@ def _signature_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             s = shingle_set(text)
             if len(s):
                 m = minhash(s, a, b)
-                rows.append((doc_id, len(s), xxhash.xxh3_128_hexdigest(s.tobytes()), band_keys(m), odd_sketch(m)))
+                rows.append((doc_id, len(s), xxhash.xxh3_128_digest(s.tobytes()), band_keys(m), odd_sketch(m), set_sketch(s)))
             else:
-                rows.append((doc_id, 0, None, None, None))
-        yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "set_hash", "bands", "sketch"])
+                rows.append((doc_id, 0, None, None, None, None))
+        yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "set_hash", "bands", "sketch", "parity"])
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, set_hash, bands, sketch) of each row; the last three are null without words."""
-    schema = "doc_id long, n_shingles long, set_hash string, bands array<long>, sketch array<long>"
+    """(doc_id, n_shingles, set_hash, bands, sketch, parity) of each row; the last four are null without words."""
+    schema = "doc_id long, n_shingles long, set_hash binary, bands array<long>, sketch array<long>, parity array<long>"
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(_signature_rows, schema)
 
 
-def _set_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _confirmed_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    hub, of_hub = None, np.empty(0, np.uint64)
     for pdf in batches:
-        yield pd.DataFrame({"doc": pdf["doc"], "shingles": [shingle_set(x).view(np.int64) for x in pdf["text"]]})
+        out = []
+        for a, b, x, y in zip(pdf["a"], pdf["b"], pdf["x"], pdf["y"], strict=True):
+            if y is not hub and y != hub:
+                hub, of_hub = y, shingle_set(y)
+            mine = shingle_set(x)
+            both = len(np.intersect1d(mine, of_hub, assume_unique=True))
+            if both and both * 100 >= (len(mine) + len(of_hub) - both) * PERCENT:
+                out.append((a, b))
+        yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
 def differing_bits(x: Column, y: Column) -> Column:
@@ -149,82 +167,92 @@ def most_bits(similarity: float) -> int:
     return int(BITS / 2 * (1 - np.exp((similarity - 1) * 4 * SAMPLES / BITS)))
 
 
-def _close(x: str, y: str) -> Column:
-    """Sizes within the ratio that the similarity asks for, and sketches near enough."""
-    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT) & (differing_bits(F.col(f"{x}.sketch"), F.col(f"{y}.sketch")) <= most_bits(SKETCH_MIN))
+def _side(sketched: DataFrame, name: str) -> DataFrame:
+    """Columns of one side of a pair, all with the side's name in front."""
+    return sketched.select(*[F.col(c).alias(f"{name}_{c}") for c in sketched.columns])
+
+
+def _sizes_allow() -> Column:
+    return F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * PERCENT
+
+
+def _most_set_bits() -> Column:
+    """Differing bits of the set sketches that a pair at the similarity has at most: the expectation and five standard deviations.
+
+    The symmetric difference has m = (|A| + |B|) * (100 - PERCENT) / (100 + PERCENT) elements.
+    """
+    m = (F.col("a_n") + F.col("b_n")) * (100 - PERCENT) / (100 + PERCENT)
+    fade = F.exp(m * (-2.0 / SET_BITS))
+    variance = (1 - fade * fade) * (SET_BITS / 4) - m * fade * fade
+    return (1 - fade) * (SET_BITS / 2) + F.sqrt(F.greatest(variance, F.lit(0.0))) * 5 + 2
+
+
+def _sketches_allow() -> Column:
+    return (differing_bits(F.col("a_sketch"), F.col("b_sketch")) <= most_bits(SKETCH_MIN)) & (differing_bits(F.col("a_parity"), F.col("b_parity")) <= _most_set_bits())
+
+
+def _pairs_with_bits(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
+    """pairs (a, b) whose sizes and sketches allow the similarity, with their differing bits."""
+    joined = pairs.join(_side(sketched, "b"), pairs["b"] == F.col("b_doc")).join(_side(sketched, "a"), F.col("a") == F.col("a_doc"))
+    joined = joined.where(_sizes_allow()).where(_sketches_allow())
+    return joined.select("a", "b", (differing_bits(F.col("a_sketch"), F.col("b_sketch")) + differing_bits(F.col("a_parity"), F.col("b_parity"))).alias("bits"))
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), "text").join(wanted, "doc", "left_semi").dropDuplicates(["doc"])
-    sets = written(texts.mapInPandas(_set_rows, "doc long, shingles array<long>"), "near-sets")
-    a, b = sets.select(F.col("doc").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("doc").alias("b"), F.col("shingles").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    joined = pairs.join(b, "b").join(a, "a").select("a", "b", both.alias("both"), (F.size("sa") + F.size("sb")).alias("sum"))
-    return joined.where(F.col("both") * 100 >= (F.col("sum") - F.col("both")) * PERCENT).select("a", "b")
-
-
-def _star_candidates(buckets: DataFrame) -> DataFrame:
-    """Pairs (hub, other) within buckets (band key, doc, label): each document with the hubs of its bucket, where labels differ."""
-    sizes = buckets.groupBy("key").agg(F.count("*").alias("size"))
-    sized = buckets.join(sizes, "key")
-    central = sized.groupBy("doc").agg(F.sum("size").alias("weight"))
-    weighed = buckets.join(central, "doc")
-    hubs = weighed.groupBy("key").agg(
-        F.array_distinct(
-            F.array(
-                F.max_by("doc", F.struct("weight", -F.col("doc"))),
-                F.min("doc"),
-                F.min_by("doc", F.struct(F.xxhash64("key", "doc"), "doc")),
-                F.max_by("doc", F.struct(F.xxhash64("key", "label"), F.xxhash64("doc", "key"), "doc")),
-            )
-        ).alias("hubs")
-    )
-    pairs = buckets.join(hubs, "key").select("doc", F.explode("hubs").alias("hub")).where("doc <> hub")
-    return pairs.select(F.greatest("doc", "hub").alias("a"), F.least("doc", "hub").alias("b")).distinct()
-
-
-def near_duplicates(docs: DataFrame, star_rounds: int = 2) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the similarity; their texts are read again."""
+    wanted = written(pairs.select("a").union(pairs.select("b")).distinct().toDF("doc"), "near-wanted")
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.col("text").cast("string").alias("text"))
+    texts = texts.join(broadcast_if_small(wanted, BROADCAST_ROWS), "doc", "left_semi")
+    joined = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b")
+    return joined.select("a", "b", "x", "y").mapInPandas(_confirmed_rows, "a long, b long").distinct()
+
+
+def _star_candidates(open_: DataFrame) -> DataFrame:
+    """Pairs (a, b) within buckets (key, doc, label): each document a with the hub b of its bucket, where labels differ."""
+    sizes = open_.groupBy("key").agg(F.count("*").alias("size"))
+    central = open_.join(sizes, "key").groupBy("doc").agg(F.sum("size").alias("weight"))
+    hubs = open_.join(central, "doc").groupBy("key").agg(F.max(F.struct("weight", (-F.col("doc")).alias("order"), "doc", "label")).alias("hub"))
+    pairs = open_.join(hubs, "key").where(F.col("label") != F.col("hub.label"))
+    return pairs.select(F.col("doc").alias("a"), F.col("hub.doc").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, star_rounds: int = 3) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text).
 
     component_id is the smallest doc_id that links reach; kept marks its row.
     """
     signed = written(signatures(docs).withColumn("doc", F.coalesce("doc_id", F.lit(LAST))), "near-signatures")
-    classes = signed.where("n_shingles > 0").groupBy("set_hash").agg(F.min("doc").alias("doc"))
-    classes = written(classes, "near-classes")
-    heads = signed.select("doc", "n_shingles", "sketch", "bands", "set_hash").join(classes, ["doc", "set_hash"], "left_semi").dropDuplicates(["doc", "set_hash"])
-    heads = heads.groupBy("doc").agg(F.min_by(F.struct("n_shingles", "sketch", "bands"), "set_hash").alias("s")).select("doc", F.col("s.n_shingles").alias("n"), "s.sketch", "s.bands")
-    heads = written(heads, "near-heads")
+    classes = signed.where("n_shingles > 0").groupBy("set_hash").agg(F.min("doc").alias("head"), F.count("*").alias("size")).where("size > 1")
+    classes = broadcast_if_small(written(classes.select("set_hash", "head"), "near-classes"), BROADCAST_ROWS)
+    heads = signed.where("n_shingles > 0").join(classes, "set_hash", "left").where("head is null or head = doc")
     rows = heads.select("doc", F.explode("bands").alias("key"))
     company = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
+    company = broadcast_if_small(written(company, "near-company"), BROADCAST_ROWS)
     buckets = written(rows.join(company, "key", "left_semi"), "near-buckets")
-    sketched = heads.join(buckets.select("doc").distinct(), "doc", "left_semi").select("doc", F.struct("n", "sketch").alias("s"))
-    sketched = written(sketched, "near-sketches")
+    in_bucket = broadcast_if_small(written(buckets.select("doc").distinct(), "near-in-bucket"), BROADCAST_ROWS)
+    sketched = written(heads.join(in_bucket, "doc", "left_semi").select("doc", F.col("n_shingles").alias("n"), "sketch", "parity"), "near-sketches")
 
-    links = None
-    tried = None
-    labels = sketched.select("doc", F.col("doc").alias("label"))
+    labels = sketched.select("doc", F.col("doc").alias("label")).distinct()
+    tried = links = sketched.sparkSession.createDataFrame([], "a long, b long")
     for _ in range(star_rounds):
-        open_ = _open_buckets(buckets, labels)
-        pairs = _star_candidates(open_)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(_sketch_passed(pairs, sketched), "near-pairs")
-        tried = pairs if tried is None else tried.union(pairs)
-        found = written(_confirmed(pairs, docs), "near-links")
-        links = found if links is None else links.union(found)
+        pairs = _star_candidates(_open_buckets(buckets, labels)).join(tried, ["a", "b"], "left_anti")
+        best = _pairs_with_bits(pairs, sketched).groupBy("a").agg(F.min_by("b", F.struct("bits", "b")).alias("b"))
+        best = written(best, "near-pairs")
+        if best.isEmpty():
+            break
+        tried = tried.union(best)
+        links = links.union(written(_confirmed(best, docs), "near-links"))
         labels = _labels(sketched, links)
     rest = _sweep(_open_buckets(buckets, labels), sketched)
-    pairs = written(rest.join(tried, ["a", "b"], "left_anti"), "near-rest")
-    found = written(_confirmed(pairs, docs), "near-links")
-    labels = _labels(sketched, links.union(found))
+    pairs = written(rest.join(tried, ["a", "b"], "left_anti").join(tried.toDF("b", "a"), ["a", "b"], "left_anti"), "near-rest")
+    if not pairs.isEmpty():
+        links = links.union(written(_confirmed(pairs, docs), "near-links"))
+        labels = _labels(sketched, links)
 
-    heads_label = labels.where("label <> doc").select("doc", "label")
-    by_set = classes.join(heads_label, "doc", "left").select("set_hash", F.coalesce("label", "doc").alias("component"))
-    out = signed.join(by_set, "set_hash", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")) | (F.col("doc_id").isNull() & (F.col("component_id") == LAST)))
+    moved = broadcast_if_small(written(labels.where("label <> doc").select(F.col("doc").alias("node"), "label"), "near-moved"), BROADCAST_ROWS)
+    out = signed.select("doc_id", "doc", "n_shingles", "set_hash").join(classes, "set_hash", "left").withColumn("node", F.coalesce("head", "doc"))
+    out = out.join(moved, "node", "left").select("doc_id", "n_shingles", F.coalesce("label", "node").alias("component_id"))
+    return out.withColumn("kept", F.coalesce("doc_id", F.lit(LAST)) == F.col("component_id"))
 
 
 def _open_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:
@@ -234,23 +262,16 @@ def _open_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     return written(labelled.join(mixed, "key", "left_semi").select("key", "doc", "label"), "near-open")
 
 
-def _sketch_passed(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
-    a = sketched.select(F.col("doc").alias("a"), F.col("s").alias("x"))
-    b = sketched.select(F.col("doc").alias("b"), F.col("s").alias("y"))
-    return pairs.join(b, "b").join(a, "a").where(_close("x", "y")).select("a", "b")
-
-
 def _sweep(open_: DataFrame, sketched: DataFrame) -> DataFrame:
     """All pairs of one bucket with different labels that pass the size and sketch tests."""
-    rows = open_.join(sketched, "doc")
-    a = rows.select("key", F.col("doc").alias("a"), F.col("label").alias("la"), F.col("s").alias("x"))
-    b = rows.select("key", F.col("doc").alias("b"), F.col("label").alias("lb"), F.col("s").alias("y"))
-    return a.join(b, (a["key"] == b["key"]) & (F.col("la") != F.col("lb")) & (F.col("a") > F.col("b")) & _close("x", "y")).select("a", "b").distinct()
+    rows = written(open_.join(sketched, "doc"), "near-sweep")
+    near = (F.col("a_key") == F.col("b_key")) & (F.col("a_label") != F.col("b_label")) & (F.col("a_doc") > F.col("b_doc"))
+    return _side(rows, "a").join(_side(rows, "b"), near & _sizes_allow() & _sketches_allow()).select(F.col("a_doc").alias("a"), F.col("b_doc").alias("b")).distinct()
 
 
 def _labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
     found = components(links.select("a", "b"))
-    return written(nodes.select("doc").join(found, "doc", "left").select("doc", F.coalesce("label", "doc").alias("label")), "near-labels")
+    return written(nodes.select("doc").distinct().join(found, "doc", "left").select("doc", F.coalesce("label", "doc").alias("label")), "near-labels")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
