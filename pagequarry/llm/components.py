@@ -16,7 +16,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Each node's larger neighbours are linked to the smallest of it and its neighbours."""
     ways = _both_ways(edges)
     least = ways.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return ways.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return ways.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
