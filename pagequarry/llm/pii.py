@@ -180,8 +180,18 @@ def _units(match: Column) -> Column:
     return F.when(kind == "name", of_name).otherwise(F.array(F.struct(kind.alias("kind"), match.alias("value"))))
 
 
+def _may_match(text: Column) -> Column:
+    """A cheap condition that every text with a match meets: a digit, an @, or a title."""
+    out = text.rlike("[0-9@]")
+    for title in (*MALE, *FEMALE, *NEUTRAL):
+        if not any(title != t and title.startswith(t) for t in (*MALE, *FEMALE, *NEUTRAL)):
+            out = out | F.contains(text, F.lit(title))
+    return out
+
+
 def matches(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
+    """The matches in a text, in order."""
+    return F.when(_may_match(text), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
 def entities(docs: DataFrame) -> DataFrame:
