@@ -1,46 +1,3 @@
-"""Connected components by alternating star contraction, all rounds as DataFrame joins."""
+"""Connected components, as in ``pagequarry.operators.components``."""
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from ._shared import written
-
-
-def _both_ways(edges: DataFrame) -> DataFrame:
-    return edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Each node's larger neighbours are linked to the smallest of it and its neighbours."""
-    ways = _both_ways(edges)
-    least = ways.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return ways.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    """Each node and its smaller neighbours are linked to the smallest of them."""
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
-
-
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(doc, label) of every node that has an edge (a, b): label is the smallest node reachable.
-
-    Only a pair of checksums of each round reaches the driver.
-    """
-    edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    seen = None
-    for _ in range(max_rounds):
-        sums = edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
-        if sums[0] == 0 or tuple(sums) == seen:
-            break
-        seen = tuple(sums)
-        edges = written(_small_star(_large_star(edges)), "edges")
-    else:
-        raise RuntimeError("components did not settle")
-    found = edges.select(F.col("a").alias("doc"), F.col("b").alias("label"))
-    return found.union(edges.select(F.col("b").alias("doc"), F.col("b").alias("label")).distinct())
+from pagequarry.operators.components import components  # noqa: F401

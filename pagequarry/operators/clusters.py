@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .components import components
+
 # Shared results from which two keywords belong to one post, one cluster, or link to each other.
 SAME_POST, SAME_CLUSTER, INTERLINK = 7, 4, 2
 KM_PER_DEGREE = 111.32
@@ -30,24 +32,14 @@ def band(shared: Column) -> Column:
     return F.when(shared >= SAME_POST, "same-post").when(shared >= SAME_CLUSTER, "same-cluster").when(shared >= INTERLINK, "interlink").otherwise("separate")
 
 
-def keyword_clusters(keywords: DataFrame, overlap: DataFrame, rounds: int = 12) -> DataFrame:
+def keyword_clusters(keywords: DataFrame, overlap: DataFrame) -> DataFrame:
     """(keyword, cluster): keywords joined by overlaps of SAME_CLUSTER or more; a cluster's name is its least keyword.
 
-    Labels spread over the edges and along their own pointers, so each round at
-    least doubles the distance a label travels.
+    Raises where the components do not settle.
     """
-    edges = overlap.where(F.col("shared") >= SAME_CLUSTER)
-    both = edges.select(F.col("k1").alias("x"), F.col("k2").alias("y")).union(edges.select(F.col("k2"), F.col("k1")))
-    labels = keywords.select("keyword").distinct().withColumn("cluster", F.col("keyword"))
-    for _ in range(rounds):
-        near = both.join(labels, both["y"] == labels["keyword"]).groupBy("x").agg(F.min("cluster").alias("near"))
-        step = labels.join(near, labels["keyword"] == near["x"], "left").select("keyword", F.least("cluster", "near").alias("cluster"))
-        jump = step.select(F.col("keyword").alias("cluster"), F.col("cluster").alias("further"))
-        new = step.join(jump, "cluster", "left").select("keyword", F.least("cluster", "further").alias("cluster")).checkpoint()
-        if new.exceptAll(labels).isEmpty():
-            return new
-        labels = new
-    return labels
+    found = components(overlap.where(F.col("shared") >= SAME_CLUSTER).select(F.col("k1").alias("a"), F.col("k2").alias("b")))
+    found = found.select(F.col("doc").alias("keyword"), "label")
+    return keywords.select("keyword").distinct().join(found, "keyword", "left").select("keyword", F.coalesce("label", "keyword").alias("cluster"))
 
 
 def cluster_scorecard(posts: DataFrame, links: DataFrame) -> DataFrame:

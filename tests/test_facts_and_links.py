@@ -133,6 +133,13 @@ def test_overlap_bands_and_clusters(spark):
     assert {r.keyword: r.cluster for r in clusters.keyword_clusters(results, overlap).collect()} == {"a": "a", "b": "a", "c": "a", "d": "d"}
 
 
+def test_clusters_of_a_long_chain(spark):
+    chain = [1, *range(42, 1, -1)]
+    overlap = spark.createDataFrame([(min(a, b), max(a, b), 4) for a, b in zip(chain, chain[1:], strict=False)], "k1 long, k2 long, shared long")
+    keywords = spark.createDataFrame([(k,) for k in [*chain, 99]], "keyword long")
+    assert {r.keyword: r.cluster for r in clusters.keyword_clusters(keywords, overlap).collect()} == {**dict.fromkeys(chain, 1), 99: 99}
+
+
 def test_readers(spark, tmp_path):
     body = json.dumps({"tasks": [{"status_code": 20000, "result": [{"items": [{"title": "x"}, {"title": "y"}]}, None]}, {"status_code": 40000, "result": [{"items": [{"title": "z"}]}]}, {"status_code": 20000, "result": None}]})
     assert [r.item.title for r in readers.envelope_items(spark.createDataFrame([(1, body)], "id long, body string"), "struct<title:string>").collect()] == ["x", "y"]
