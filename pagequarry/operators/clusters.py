@@ -11,20 +11,34 @@ from .components import components
 # Shared results from which two keywords belong to one post, one cluster, or link to each other.
 SAME_POST, SAME_CLUSTER, INTERLINK = 7, 4, 2
 KM_PER_DEGREE = 111.32
+#: Keywords of one url that are paired in one group of the join, on average.
+PAIR_BLOCK = 200
+
+
+def _pairs(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(k1, k2, keys) of the keywords k1 < k2 with equal keys; rows (keyword, keys) are distinct."""
+    blocks = rows.groupBy(*keys).agg(F.ceil(F.count("*") / PAIR_BLOCK).alias("blocks"))
+    dealt = rows.join(blocks, keys).withColumn("own", F.pmod(F.xxhash64("keyword"), F.col("blocks")))
+    a = dealt.select(*keys, F.col("keyword").alias("x"), F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"))
+    b = dealt.select(*keys, F.col("keyword").alias("y"), F.explode(F.sequence(F.lit(0).cast("long"), "own")).alias("i"), F.col("own").alias("j"))
+    met = a.join(b, [*keys, "i", "j"]).where("i < j OR x < y")
+    return met.select(F.least("x", "y").alias("k1"), F.greatest("x", "y").alias("k2"), *keys)
 
 
 def result_overlap(results: DataFrame, group: str | None = None, ubiquitous: int | None = None) -> DataFrame:
     """(k1, k2, shared, band) of keyword pairs with a result in common; results: keyword, url, and maybe a group that limits the pairs.
 
     Results on more than ``ubiquitous`` keywords can be left out of the pairing: they
-    say nothing of any two of them.
+    say nothing of any two of them. The keywords of a url are dealt to blocks, and
+    each pair of blocks is a group of the join, so a frequent url spreads over tasks.
     """
     keys = ["url", *([group] if group else [])]
     rows = results.select("keyword", *keys).distinct()
     if ubiquitous:
         rows = rows.join(rows.groupBy("url").agg(F.count("*").alias("n")).where(F.col("n") <= ubiquitous).select("url"), "url", "left_semi")
-    a, b = rows.withColumnRenamed("keyword", "k1"), rows.withColumnRenamed("keyword", "k2")
-    pairs = a.join(b, keys).where("k1 < k2").groupBy("k1", "k2").agg(F.count_distinct("url").alias("shared"))
+    pairs = _pairs(rows, keys)
+    # Without a group no pair meets twice at a url, so plain counts, summed before the shuffle, are distinct.
+    pairs = pairs.groupBy("k1", "k2").agg((F.count_distinct("url") if group else F.count("*")).alias("shared"))
     return pairs.withColumn("band", band(F.col("shared")))
 
 

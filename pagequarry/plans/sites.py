@@ -216,6 +216,10 @@ def g04(spark, sf):
 _RESULTS = "SELECT DISTINCT l_suppkey AS keyword, l_partkey AS url FROM lineitem WHERE l_orderkey % 5 = 0"
 
 
+def _all_results(spark, sf):
+    return table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("keyword"), F.col("l_partkey").alias("url"))
+
+
 def _results(spark, sf):
     return table(spark, sf, "lineitem").where("l_orderkey % 5 = 0").select(F.col("l_suppkey").alias("keyword"), F.col("l_partkey").alias("url"))
 
@@ -232,8 +236,8 @@ def j15(spark, sf):
 
 @query("g03_keyword_clusters")
 def g03(spark, sf):
-    results = _results(spark, sf).where("url % 40 = 0")
-    return clusters.keyword_clusters(results, clusters.result_overlap(results).withColumn("shared", F.col("shared") * 4))
+    results = _all_results(spark, sf)
+    return clusters.keyword_clusters(results, clusters.result_overlap(results))
 
 
 @query(
@@ -296,3 +300,59 @@ UNION ALL SELECT DISTINCT page_url, NULL, 'missing-self-reference' FROM d a WHER
 def j12(spark, sf):
     t = table(spark, sf, "orders").where("o_orderkey % 7 = 0").select((F.col("o_orderkey") % 60).cast("string").alias("page_url"), F.lit("en").alias("lang"), (F.col("o_custkey") % 60).cast("string").alias("href"))
     return links.return_tags(t.distinct()).select("page_url", "href", "problem")
+
+
+# The queries g05, g04, j15, j18 and j12 over whole tables: no row filter, and keys as they are.
+
+
+def _all_edges(spark, sf):
+    return table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()
+
+
+@query("g05_orphans_whole", "SELECT p_partkey AS url, coalesce(c, 0) AS incoming FROM part LEFT JOIN (SELECT l_partkey, count(DISTINCT l_suppkey) AS c FROM lineitem WHERE l_suppkey <> l_partkey GROUP BY 1) ON p_partkey = l_partkey WHERE coalesce(c, 0) < 20")
+def g05_whole(spark, sf):
+    return links.orphans(table(spark, sf, "part").select(F.col("p_partkey").alias("url")), _all_edges(spark, sf), least=20)
+
+
+@query(
+    "g04_clicks_whole",
+    """WITH e AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem), d1 AS (SELECT DISTINCT dst AS node FROM e WHERE src = 1), d2 AS (SELECT DISTINCT dst AS node FROM e JOIN d1 ON src = node),
+u AS (SELECT 1 AS node, 0 AS clicks UNION ALL SELECT node, 1 FROM d1 UNION ALL SELECT node, 2 FROM d2) SELECT CAST(node AS BIGINT) AS node, CAST(min(clicks) AS INTEGER) AS clicks FROM u GROUP BY node""",
+)
+def g04_whole(spark, sf):
+    return links.clicks_from(spark.createDataFrame([(1,)], "node long"), _all_edges(spark, sf), 2)
+
+
+@query(
+    "j15_result_overlap_whole",
+    """WITH r AS (SELECT DISTINCT l_suppkey AS keyword, l_partkey AS url FROM lineitem) SELECT a.keyword AS k1, b.keyword AS k2, count(*) AS shared,
+CASE WHEN count(*) >= 7 THEN 'same-post' WHEN count(*) >= 4 THEN 'same-cluster' WHEN count(*) >= 2 THEN 'interlink' ELSE 'separate' END AS band
+FROM r a JOIN r b ON a.url = b.url AND a.keyword < b.keyword GROUP BY 1, 2""",
+)
+def j15_whole(spark, sf):
+    return clusters.result_overlap(_all_results(spark, sf))
+
+
+@query(
+    "j18_within_radius_whole",
+    """WITH c AS (SELECT s_suppkey AS centre, 40 + (s_suppkey % 10) * 1.0 AS lat, -5 + (s_suppkey % 7) * 1.0 AS lng FROM supplier),
+p AS (SELECT c_custkey AS place, 38 + (c_custkey % 400) / 30.0 AS plat, -6 + (c_custkey % 37) / 4.0 AS plng FROM customer),
+d AS (SELECT centre, place, 2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin(radians(plat - lat) / 2), 2) + cos(radians(lat)) * cos(radians(plat)) * pow(sin(radians(plng - lng) / 2), 2)))) AS km FROM c CROSS JOIN p)
+SELECT centre, place, round(km, 4) AS km FROM d WHERE round(km, 6) <= 30""",
+)
+def j18_whole(spark, sf):
+    s, c = F.col("s_suppkey"), F.col("c_custkey")
+    centres = table(spark, sf, "supplier").select(s.alias("centre"), (40 + (s % 10) * F.lit(1.0)).alias("lat"), (-5 + (s % 7) * F.lit(1.0)).alias("lng"))
+    places = table(spark, sf, "customer").select(c.alias("place"), (38 + (c % 400) / 30.0).alias("lat"), (-6 + (c % 37) / 4.0).alias("lng"))
+    return clusters.within_radius(centres, places, 30.0).select("centre", "place", F.round("km", 4).alias("km"))
+
+
+@query(
+    "j12_return_tags_whole",
+    """WITH d AS (SELECT DISTINCT CAST(o_orderkey AS VARCHAR) AS page_url, CAST(o_custkey AS VARCHAR) AS href FROM orders)
+SELECT page_url, href, 'missing-return-tag' AS problem FROM d a WHERE page_url <> href AND NOT EXISTS (SELECT 1 FROM d b WHERE b.page_url = a.href AND b.href = a.page_url)
+UNION ALL SELECT DISTINCT page_url, NULL, 'missing-self-reference' FROM d a WHERE NOT EXISTS (SELECT 1 FROM d b WHERE b.page_url = a.page_url AND b.href = a.page_url)""",
+)
+def j12_whole(spark, sf):
+    t = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("page_url"), F.lit("en").alias("lang"), F.col("o_custkey").cast("string").alias("href"))
+    return links.return_tags(t.distinct()).select("page_url", "href", "problem")

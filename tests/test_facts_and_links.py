@@ -133,6 +133,51 @@ def test_overlap_bands_and_clusters(spark):
     assert {r.keyword: r.cluster for r in clusters.keyword_clusters(results, overlap).collect()} == {"a": "a", "b": "a", "c": "a", "d": "d"}
 
 
+def by_sql(sql, sf):
+    import re
+
+    import duckdb
+
+    con = duckdb.connect()
+    for name in ("lineitem", "orders", "part", "supplier", "customer"):
+        if re.search(rf"\b{name}\b", sql):
+            con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
+    return con.execute(sql).fetchall()
+
+
+@pytest.mark.parametrize("name", ["g04_clicks_whole", "g05_orphans_whole", "j12_return_tags_whole", "j15_result_overlap_whole", "j18_within_radius_whole"])
+def test_whole_tables_match_sql(spark, name):
+    sf = "/root/testdata/sf0.01"
+    got, wanted = registry.QUERIES[name](spark, sf).collect(), by_sql(registry.ORACLE_SQL[name], sf)
+    key = lambda row: tuple(str(v) for v in row[:2])
+    assert [tuple(r)[:2] for r in sorted(got, key=key)] == [r[:2] for r in sorted(wanted, key=key)]
+    for a, b in zip(sorted(got, key=key), sorted(wanted, key=key), strict=True):
+        assert tuple(a) == pytest.approx(b, abs=2e-4) if name.startswith("j18") else tuple(a) == b
+
+
+def test_keyword_clusters_of_the_whole_table(spark):
+    sf = "/root/testdata/sf0.001"
+    urls = {}
+    for k, u in by_sql("SELECT DISTINCT l_suppkey, l_partkey FROM lineitem", sf):
+        urls.setdefault(k, set()).add(u)
+    label = {k: k for k in urls}
+    for _ in urls:
+        for a in urls:
+            for b in urls:
+                if len(urls[a] & urls[b]) >= clusters.SAME_CLUSTER:
+                    label[a] = label[b] = min(label[a], label[b])
+    assert {r.keyword: r.cluster for r in registry.QUERIES["g03_keyword_clusters"](spark, sf).collect()} == label
+
+
+def test_overlap_of_frequent_urls_and_groups(spark):
+    n = 3 * clusters.PAIR_BLOCK
+    results = spark.range(n).select(F.col("id").alias("keyword"), F.lit("u").alias("url"))
+    overlap = clusters.result_overlap(results)
+    assert overlap.agg(F.count("*"), F.min("shared"), F.max("shared"), F.count_if(F.expr("k1 < k2"))).first() == (n * (n - 1) // 2, 1, 1, n * (n - 1) // 2)
+    grouped = spark.createDataFrame([("a", "u", "x"), ("b", "u", "x"), ("a", "u", "y"), ("b", "u", "y"), ("c", "u", "y")], "keyword string, url string, g string")
+    assert sorted((r.k1, r.k2, r.shared) for r in clusters.result_overlap(grouped, "g").collect()) == [("a", "b", 1), ("a", "c", 1), ("b", "c", 1)]
+
+
 def test_clusters_of_a_long_chain(spark):
     chain = [1, *range(42, 1, -1)]
     overlap = spark.createDataFrame([(min(a, b), max(a, b), 4) for a, b in zip(chain, chain[1:], strict=False)], "k1 long, k2 long, shared long")
