@@ -7,20 +7,22 @@ headers, footers, sidebars, forms, adverts, notices, comments), whether it lies
 in the page's article, and whether it is running text (paragraph, heading, list
 item, quote).
 
-Pages of a host are put in order of URL path, and each is aligned with the next
-by the longest common subsequence of their blocks (as hashes). What two
-neighbours share is template: it is deleted unless it is running text inside an
-article, where two pages may well quote the same passage. Where nine tenths of
-the shorter page are shared, the pair are copies of one page and say nothing of
-the template. Blocks that the markup names as no content go as well, and so does
-what lies outside the article on pages that have one.
+The distinct pages of a host (equal html counts once) are put in order of URL
+path, and each is aligned with the next by the longest common subsequence of
+their blocks (as hashes). What two neighbours share is template: it is deleted
+unless it is running text inside an article, where two pages may well quote the
+same passage. Two pages are copies of one page and say nothing of the template
+where nine tenths of the longer are shared and one has fewer than two blocks of
+its own; each page of a run of copies is compared with the pages before and
+after the run. Blocks that the markup names as no content
+go as well, and so does what lies outside the article on pages that have one.
 
 The order within a host is made by range partitioning, so a host with a third of
-all pages is spread over tasks; the page before a partition's first comes from
-the partitions' last pages, one row each.
+all pages is spread over tasks; what lies beyond a partition's ends comes from
+one row of each partition.
 
 Nulls: null html has no blocks and an empty text; a null url is a host of its
-own. Rows with equal page_id and html are treated alike. Broken markup (unclosed
+own. Rows of a host with equal html get equal texts. Broken markup (unclosed
 elements, references without semicolon, scripts with tags in strings) is read as
 browsers do, as far as text goes.
 """
@@ -34,7 +36,7 @@ from html import unescape
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -54,8 +56,9 @@ LABELS = frozenset(
     "sidebar menu nav navbar navigation breadcrumb breadcrumbs masthead header footer comment comments disqus respond reply share sharing social related recommended recommendations "
     "toolbar pagination pager widget login search skip".split()
 )
-#: Share of the shorter page's blocks from which a pair counts as copies of one page.
+#: Share of the longer page's blocks from which a pair counts as copies of one page, unless both have so many own blocks.
 COPIES = 0.9
+OWN_BLOCKS = 2
 BROADCAST_ROWS = 200_000
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*+)>""", re.DOTALL)
@@ -186,86 +189,121 @@ def common_subsequence(a: list, b: list) -> list[tuple[int, int]]:
     return [(k, k) for k in range(start)] + found[::-1]
 
 
+ORDER = ("host", "path", "page", "hh")
+
+
+def _url_part(url: Column, part: int) -> Column:
+    """The authority (1) or the path (2) of a URL; empty where it has none."""
+    return F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)([^?#]*)", part)
+
+
 def _key(df: DataFrame) -> DataFrame:
-    return df.withColumns({"page": F.col("page_id").cast("long"), "hh": F.xxhash64("html")})
+    """df with hh and host: a page is what has these equal."""
+    return df.withColumns({"hh": F.xxhash64("html"), "host": F.lower(_url_part(F.col("url").cast("string"), 1))})
 
 
 def _parsed(pages: DataFrame) -> DataFrame:
-    """(page, hh, host, path, hashes, free) without texts; free[k] says that block k goes if it is shared."""
-    schema = "page long, hh long, url string, hashes array<long>, free array<boolean>"
+    """(host, hh, path, page, hashes, free) of each distinct page, at its first path, without texts; free[k] says that block k goes if it is shared."""
+    schema = "host string, hh long, path string, page long, hashes array<long>, free array<boolean>"
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for page, hh, url, html in zip(pdf["page"].astype("Int64"), pdf["hh"], pdf["url"], pdf["html"], strict=True):
+            for host, hh, path, page, html in zip(pdf["host"], pdf["hh"], pdf["path"], pdf["page"].astype("Int64"), pdf["html"], strict=True):
                 blocks = page_blocks(html)
                 hashes = np.array([xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) for t, *_ in blocks], np.uint64).view(np.int64)
-                out.append((page, hh, url, hashes, [not (art and prose) for _, _, art, prose in blocks]))
-            yield pd.DataFrame(out, columns=["page", "hh", "url", "hashes", "free"]).astype({"page": "Int64"})
+                out.append((host, hh, path, page, hashes, [not (art and prose) for _, _, art, prose in blocks]))
+            yield pd.DataFrame(out, columns=["host", "hh", "path", "page", "hashes", "free"]).astype({"page": "Int64"})
+
+    keyed = _key(pages).select("host", "hh", _url_part(F.col("url").cast("string"), 2).alias("path"), F.col("page_id").cast("long").alias("page"), F.col("html").cast("string"))
+    parsed = keyed.mapInPandas(rows, schema)
+    once = parsed.groupBy("host", "hh").agg(F.min(F.struct("path", "page")).alias("at"), F.first("hashes").alias("hashes"), F.first("free").alias("free"))
+    return once.select("host", "hh", "at.*", "hashes", "free")
+
+
+def _ordered(rows: DataFrame) -> DataFrame:
+    """(host, path, page, hh, part) in ranges of ORDER."""
+    ranged = rows.select(*ORDER).distinct().repartitionByRange(*ORDER).withColumn("part", F.spark_partition_id())
+    return written(ranged, "html-order")
+
 
-    parsed = _key(pages).select("page", "hh", F.col("url").cast("string"), F.col("html").cast("string")).mapInPandas(rows, schema)
-    url = F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)([^?#]*)", 1)
-    path = F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)([^?#]*)", 2)
-    return parsed.select("page", "hh", F.lower(url).alias("host"), path.alias("path"), "hashes", "free")
+def _beyond(rows: DataFrame, value: Column, after: bool) -> DataFrame:
+    """rows (ORDER, part) with ``found``: the nearest value that is not null before a row, or after it, of any partition."""
+    rows = rows.withColumn("__pq_v", value)
+    # "After" is "before" in descending order: frames that grow at their end take one pass.
+    way = lambda c: F.col(c).desc() if after else F.col(c).asc()
+    near = F.last("__pq_v", ignorenulls=True).over(Window.partitionBy("part").orderBy(*map(way, ORDER)).rowsBetween(Window.unboundedPreceding, -1))
+    end = (F.min_by if after else F.max_by)("__pq_v", F.struct(*ORDER))
+    ends = rows.where("__pq_v is not null").groupBy("part").agg(end.alias("end"))
+    parts = rows.select("part").distinct().join(ends, "part", "left")  # one row per partition
+    carried = F.last("end", ignorenulls=True).over(Window.partitionBy(F.lit(1)).orderBy(way("part")).rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select("part", carried.alias("carried"))
+    return rows.withColumn("near", near).join(F.broadcast(parts), "part").withColumn("found", F.coalesce("near", "carried")).drop("near", "carried", "__pq_v")
+
+
+def _before(order: DataFrame) -> DataFrame:
+    """(host, page, hh, page0, hh0): each page with the one before it in its host."""
+    found = _beyond(order, F.struct("host", "page", "hh"), after=False).where(F.col("found.host") == F.col("host"))
+    return found.select("host", "page", "hh", F.col("found.page").alias("page0"), F.col("found.hh").alias("hh0"))
 
 
 def neighbours(rows: DataFrame) -> DataFrame:
     """(page, hh, page0, hh0): each page with the one before it in its host, by path, then page and hash."""
-    order = ["host", "path", "page", "hh"]
-    ranged = rows.select(*order).distinct().repartitionByRange(*order).withColumn("part", F.spark_partition_id())
-    ranged = written(ranged, "html-order")
-    me = F.struct(*order)
-    before = F.lag(me).over(Window.partitionBy("part").orderBy(*order))
-    lasts = ranged.groupBy("part").agg(F.max(me).alias("last"))
-    lasts = lasts.select("part", F.lag("last").over(Window.partitionBy(F.lit(1)).orderBy("part")).alias("carried"))
-    paired = ranged.withColumn("before", before).join(F.broadcast(lasts), "part")  # one row per partition
-    paired = paired.withColumn("before", F.coalesce("before", "carried")).where(F.col("before.host") == F.col("host"))
-    return paired.select("page", "hh", F.col("before.page").alias("page0"), F.col("before.hh").alias("hh0"))
-
-
-@F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
-def _shared_blocks(a: pd.Series, b: pd.Series) -> pd.Series:
-    """The positions in a, and those in b, of the blocks that align; none for copies of one page."""
-
-    def aligned(x: np.ndarray, y: np.ndarray) -> list[list[int]]:
+    return _before(_ordered(rows)).drop("host")
+
+
+@F.pandas_udf(T.StructType().add("copy", T.BooleanType()).add("a", T.ArrayType(T.IntegerType())).add("b", T.ArrayType(T.IntegerType())))
+def _shared_blocks(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """Whether a and b are copies, and if not, the positions in a and in b of the blocks that align."""
+
+    def aligned(x: np.ndarray, y: np.ndarray) -> tuple:
         pairs = common_subsequence(x.tolist(), y.tolist())
-        if len(pairs) >= COPIES * min(len(x), len(y)):
-            return [[], []]
-        return [[i for i, _ in pairs], [j for _, j in pairs]]
+        if len(pairs) >= COPIES * max(len(x), len(y)) and min(len(x), len(y)) - len(pairs) < OWN_BLOCKS:
+            return (True, [], [])
+        return (False, [i for i, _ in pairs], [j for _, j in pairs])
+
+    return pd.DataFrame([aligned(x, y) for x, y in zip(a, b, strict=True)], columns=["copy", "a", "b"])
+
 
-    return pd.Series([aligned(x, y) for x, y in zip(a, b, strict=True)])
+def _aligned(pairs: DataFrame, parsed: DataFrame) -> DataFrame:
+    """pairs (host, hh, hh0) with s, what their blocks share."""
+    mine = parsed.select("host", "hh", F.col("hashes").alias("x"))
+    other = parsed.select("host", F.col("hh").alias("hh0"), F.col("hashes").alias("y"))
+    return pairs.join(mine, ["host", "hh"]).join(other, ["host", "hh0"]).select("host", "hh", "hh0", _shared_blocks("x", "y").alias("s"))
 
 
 def shared_blocks(pages: DataFrame) -> DataFrame:
-    """(page, hh, gone): the positions of a page's blocks that a neighbour shares and that are no running text of an article."""
+    """(host, hh, gone): the positions of a page's blocks that a neighbour shares and that are no running text of an article."""
     parsed = written(_parsed(pages), "html-blocks")
-    unique = parsed.dropDuplicates(["page", "hh", "host", "path"])
-    mine = unique.select("page", "hh", F.col("hashes").alias("a"))
-    other = unique.select(F.col("page").alias("page0"), F.col("hh").alias("hh0"), F.col("hashes").alias("b"))
-    pairs = neighbours(parsed)
-    same = lambda x, y: x.eqNullSafe(y)
-    joined = pairs.join(mine, same(pairs["page"], mine["page"]) & (pairs["hh"] == mine["hh"])).select(pairs["page"], pairs["hh"], "page0", "hh0", "a")
-    joined = joined.join(other, same(joined["page0"], other["page0"]) & (joined["hh0"] == other["hh0"])).select("page", "hh", joined["page0"], joined["hh0"], "a", "b")
-    aligned = joined.withColumn("s", _shared_blocks("a", "b"))
-    sides = F.explode(F.array(F.struct("page", "hh", F.col("s")[0].alias("at")), F.struct(F.col("page0").alias("page"), F.col("hh0").alias("hh"), F.col("s")[1].alias("at"))))
-    found = aligned.select(sides.alias("x")).select("x.*").where(F.size("at") > 0)
-    found = found.groupBy("page", "hh").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"))
-    free = unique.groupBy("page", "hh").agg(F.first("free").alias("free"))
-    out = found.join(free, same(found["page"], free["page"]) & (found["hh"] == free["hh"]))
-    gone = F.filter("at", lambda k: F.get("free", k))
-    return out.select(found["page"], found["hh"], F.array_sort(gone).alias("gone")).where(F.size("gone") > 0)
+    order = _ordered(parsed)
+    first = written(_aligned(_before(order).select("host", "hh", "hh0"), parsed), "html-aligned")
+    # A page starts a run unless it is a copy of the one before it; its copies have the same pages before and after the run.
+    copies = first.where("s.copy").select("host", "hh", F.lit(True).alias("copy"))
+    runs = order.join(copies, ["host", "hh"], "left").select(*ORDER, "part", F.col("copy").isNull().alias("starts"))
+    page = F.struct("host", "hh")
+    runs = written(_beyond(runs, page, after=False).withColumnRenamed("found", "last"), "html-runs")
+    left = _beyond(runs, F.when(F.col("starts"), F.struct("last")), after=False).where("NOT starts AND found.last.host = host")
+    right = _beyond(runs, F.when(F.col("starts"), page), after=True).where("found.host = host")
+    more = left.select("host", "hh", F.col("found.last.hh").alias("hh0")).union(right.select("host", F.col("found.hh").alias("hh"), F.col("hh").alias("hh0")))
+    more = more.distinct().join(first.select("host", "hh", "hh0"), ["host", "hh", "hh0"], "left_anti")
+    every = first.union(_aligned(more, parsed)).where("NOT s.copy")
+    sides = F.explode(F.array(F.struct("hh", F.col("s.a").alias("at")), F.struct(F.col("hh0").alias("hh"), F.col("s.b").alias("at"))))
+    found = every.select("host", sides.alias("x")).select("host", "x.*").where(F.size("at") > 0)
+    found = found.groupBy("host", "hh").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"))
+    gone = F.array_sort(F.filter("at", lambda k: F.get("free", k)))
+    return found.join(parsed.select("host", "hh", "free"), ["host", "hh"]).select("host", "hh", gone.alias("gone")).where(F.size("gone") > 0)
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars, n_blocks, n_shared) of each row of pages (page_id, url, html).
 
     text joins the blocks that stay, in page order, by an empty line; n_shared
-    counts those deleted because a neighbour has them.
+    counts those deleted because neighbours have them.
     """
-    gone = shared_blocks(pages).select(F.col("page").alias("p"), F.col("hh").alias("h"), "gone")
+    gone = shared_blocks(pages)
     gone = broadcast_if_small(written(gone, "html-shared"), BROADCAST_ROWS)
-    keyed = _key(pages).select("page", "hh", F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    joined = keyed.join(gone, keyed["page"].eqNullSafe(gone["p"]) & (keyed["hh"] == gone["h"]), "left").select("page_id", "url", "html", "gone")
+    keyed = _key(pages).select("host", "hh", F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
+    joined = keyed.join(gone, ["host", "hh"], "left").select("page_id", "url", "html", "gone")
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -57,6 +57,24 @@ def test_main_text(spark):
     assert html_main.main_text(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_template_goes_where_most_of_a_page_is_template(spark):
+    lines = "".join(f"<div>Template line {k}</div>" for k in range(20))
+    own = lambda i, n=2: "".join(f"<div>Own {k} of {i}</div>" for k in range(n))
+    mine = lambda i, n=2: "\n\n".join(f"Own {k} of {i}" for k in range(n))
+    rows = [(i, f"http://a/{i}", lines + own(i)) for i in range(4)]  # 20 of 22 blocks are shared
+    rows += [(10, "http://b/0", lines), (11, "http://b/1", lines + own(11, 9))]  # a stub of template
+    rows += [(20 + i, f"http://c/{i}", lines + own(20, 9)) for i in range(5)]  # equal pages
+    rows += [(30, "http://c/9", lines + own(30, 9))]
+    once = own(40, 9).replace("</div>", "!</div>", 1)
+    rows += [(40 + i, f"http://d/{i}", lines + h) for i, h in enumerate([own(40, 9), once, own(40, 9) + "<div>?</div>", own(43, 9)])]  # copies that differ a little
+    for n in (1, 5):
+        by = {r.page_id: r.text for r in html_main.main_text(spark.createDataFrame(rows, SCHEMA).repartition(n)).collect()}
+        assert all(by[i] == mine(i) for i in range(4))
+        assert (by[10], by[11]) == ("", mine(11, 9))
+        assert all(by[20 + i] == mine(20, 9) for i in range(5)) and by[30] == mine(30, 9)
+        assert (by[40], by[41], by[42], by[43]) == (mine(40, 9), mine(40, 9).replace("40", "40!", 1), mine(40, 9) + "\n\n?", mine(43, 9))
+
+
 def test_neighbours_do_not_depend_on_partitions(spark):
     r = random.Random(6)
     rows = [(i, i * 7, f"h{r.randint(0, 2)}", f"/{r.randint(0, 50)}") for i in range(300)]
