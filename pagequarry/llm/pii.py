@@ -1,13 +1,16 @@
 """PII: surrogate generation for what patterns detect (DataFrame functions only).
 
 Detected are e-mail addresses, IPv4 addresses, phone numbers, payment card
-numbers, IBANs, social security numbers, and names after a title. A text is split
-at the matches and joined again with a surrogate in each match's place, so texts
+numbers, IBANs, social security numbers, and names after one or more titles: any
+number of initials and name words, the last being the surname. The words of these
+names are replaced wherever else they stand in the same document, without a title
+too. A name that has no title anywhere in its document is not found, nor is a word
+beside a known surname that stands in no titled name. A text is split at the matches and joined again with a surrogate in each match's place, so texts
 are not shuffled.
 
 A surrogate depends on a secret key, the kind and the value alone: the same value
 has the same surrogate in all documents (coreference, also of "Mr Smith" with
-"John Smith", as surnames are mapped word by word). It keeps the format: digits
+"Mr John Smith", as surnames are mapped word by word). It keeps the format: digits
 for digits, letters for letters of the same case, punctuation as it stands; mail
 domains become names reserved for examples, IPv4 addresses lie in 240.0.0.0/4,
 phone numbers keep their country code, card numbers their first digit and whether
@@ -53,7 +56,10 @@ SYLLABLES = {
 
 _TITLES = "|".join(sorted([*MALE, *FEMALE, *NEUTRAL], key=len, reverse=True))
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-_NAME_WORD = r"\p{Lu}[\p{L}'’-]+"
+#: Words of a name; a possessive s is no part of it.
+_NAME_WORD = r"\p{Lu}(?:\p{L}|['’-](?!s(?!\p{L}))\p{L})+"
+_INITIALS = r"\p{Lu}(?:\.(?:-?\p{Lu}\.)*)?"
+_TITLE_CHAIN = rf"(?:(?:{_TITLES})\.?\x20)+"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
@@ -61,7 +67,7 @@ PATTERNS = {
     "card": r"(?<![A-Za-z0-9])(?:\d{4}[ -]){3}\d{1,7}(?![A-Za-z0-9])|(?<![A-Za-z0-9])\d{13,19}(?![A-Za-z0-9])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![A-Za-z0-9+])\+\d{1,3}(?:[ .-]?\(\d{1,4}\)|[ .-]?\d{1,4})(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![A-Za-z0-9+])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![A-Za-z0-9.+-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
-    "name": rf"(?<!\p{{L}})(?:{_TITLES})\.?\x20(?:{_NAME_WORD}\x20)?{_NAME_WORD}",
+    "name": rf"(?<!\p{{L}}){_TITLE_CHAIN}(?:(?:{_NAME_WORD}|{_INITIALS})\x20)*{_NAME_WORD}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
@@ -168,13 +174,13 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str = KEY) -> C
 
 
 def _gender(match: Column) -> Column:
-    title = F.regexp_extract(match, rf"^({_TITLES})", 1)
+    title = F.regexp_extract(match, rf"^(?:(?:{'|'.join(NEUTRAL)})\.?\x20)*({_TITLES})(?!\p{{L}})", 1)  # the first that has a gender, if any
     return F.when(title.isin(*MALE), "m").when(title.isin(*FEMALE), "f").otherwise("n")
 
 
 def _units(match: Column) -> Column:
     """The (kind, value) pairs of a match: itself, or the words of a name."""
-    words = F.split(F.regexp_replace(match, rf"^(?:{_TITLES})\.?\x20", ""), " ")
+    words = F.split(F.regexp_replace(match, rf"^{_TITLE_CHAIN}", ""), " ")
     of_name = F.transform(words, lambda w, i: F.struct(F.when(i == F.size(words) - 1, F.lit("surname")).otherwise(F.concat(F.lit("given-"), _gender(match))).alias("kind"), w.alias("value")))
     kind = kind_of(match)
     return F.when(kind == "name", of_name).otherwise(F.array(F.struct(kind.alias("kind"), match.alias("value"))))
@@ -194,6 +200,14 @@ def matches(text: Column) -> Column:
     return F.when(_may_match(text), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
+def _known_words(found: Column) -> Column:
+    """The (kind, value) of the name words among a document's matches, longest first, surnames before given names; initials are left out."""
+    units = F.flatten(F.transform(F.filter(found, lambda m: kind_of(m) == "name"), _units))
+    words = F.filter(F.array_distinct(units), lambda u: u["value"].rlike(f"^{_NAME_WORD}$"))
+    keyed = F.transform(words, lambda u: F.struct(F.length(u["value"]).alias("n"), u["kind"].alias("kind"), u["value"].alias("value")))
+    return F.sort_array(keyed, asc=False)
+
+
 def entities(docs: DataFrame) -> DataFrame:
     """(kind, value): the distinct values of the corpus."""
     found = docs.select(F.explode(matches(text_or_empty())).alias("m")).select(F.explode(_units(F.col("m"))).alias("u"))
@@ -239,16 +253,24 @@ def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
         used = used.select("__pq_th", "__pq_id", F.col("u.kind").alias("kind"), F.col("u.value").alias("value")).join(broadcast_if_small(odd, BROADCAST_ROWS), ["kind", "value"])
         per_doc = used.groupBy("__pq_th", "__pq_id").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws(":", "kind", "value"), "attempt"))).alias("__pq_odd"))
         df = keyed.join(broadcast_if_small(written(per_doc, "pii-documents"), BROADCAST_ROWS), ["__pq_th", "__pq_id"], "left")
-    df = df.withColumn("__pq_matches", matches(text_or_empty()))
+    df = df.withColumn("__pq_matches", matches(text_or_empty())).withColumn("__pq_words", _known_words(F.col("__pq_matches")))
+    # Where names are known, a second pattern finds their words as well.
+    known = F.size("__pq_words") > 0
+    words = F.array_join(F.array_distinct(F.transform("__pq_words", lambda u: u["value"])), "|")
+    pattern = F.concat(F.lit(rf"{ANY}|(?<![\p{{L}}\p{{N}}])(?:"), words, F.lit(r")(?![\p{L}\p{N}])"))
+    df = df.withColumn("__pq_pattern", F.when(known, pattern).otherwise(F.lit(ANY)))
+    df = df.withColumn("__pq_matches", F.when(known, F.regexp_extract_all(text_or_empty(), F.col("__pq_pattern"), F.lit(0))).otherwise(F.col("__pq_matches")))
     attempt = lambda k, v: F.coalesce(F.try_element_at(F.col("__pq_odd"), F.concat_ws(":", k, v)), F.lit(0))
 
     def replaced(m: Column) -> Column:
-        title = F.regexp_extract(m, rf"^(?:{_TITLES})\.?\x20", 0)
-        units = F.transform(_units(m), lambda u: surrogate(u["kind"], u["value"], attempt(u["kind"], u["value"]), key))
+        title = F.regexp_extract(m, rf"^{_TITLE_CHAIN}", 0)
+        word = F.filter("__pq_words", lambda u: u["value"] == m)
+        alone = F.transform(F.slice(word, 1, 1), lambda u: F.struct(u["kind"].alias("kind"), u["value"].alias("value")))
+        units = F.transform(F.when(F.size(word) > 0, alone).otherwise(_units(m)), lambda u: surrogate(u["kind"], u["value"], attempt(u["kind"], u["value"]), key))
         return F.concat(F.when(kind_of(m) == "name", title).otherwise(F.lit("")), F.array_join(units, " "))
 
     df = df.withColumn("__pq_made", F.transform("__pq_matches", replaced))
-    pieces = F.split(F.col("text"), ANY, -1)
+    pieces = F.when(known, F.split(F.col("text"), F.col("__pq_pattern"), -1)).otherwise(F.split(F.col("text"), ANY, -1))
     joined = F.array_join(F.zip_with(pieces, F.col("__pq_made"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     df = df.withColumn("__pq_kinds", F.transform("__pq_matches", kind_of))
     df = df.withColumns({f"n_{k}": (F.size("__pq_kinds") - F.size(F.array_remove("__pq_kinds", k))).cast("long") for k in KINDS})

@@ -196,6 +196,25 @@ def test_components_of_random_graphs(spark):
     assert got == {x: root(x) for x in parent if any(x in e and e[0] != e[1] for e in edges)}
 
 
+# --- names of PII
+
+
+def test_names_of_any_form_and_their_words_later(spark):
+    texts = ["Mr John Smith came. Smith said so, and John Smith's wife too.", "Prof. Dr. Weber spoke.", "Mr. J. Smith left, and Mr. J.R. Brown.", "Dr Mary Ann Jones wrote; Jones again, not Jonesville.", "John Smith has no title here.", "Prof. Dr. Frau Lang, Lang"]
+    got = [r.text for r in pii.replace_pii(frame(spark, texts)).orderBy("doc_id").collect()]
+    for text, names in zip(got, ["John Smith", "Weber", "Smith Brown", "Mary Ann Jones", "", "Lang"], strict=True):
+        assert not any(re.search(rf"\b{n}\b", text) for n in names.split())
+    a = re.fullmatch(r"Mr (\w+) (\w+) came\. (\w+) said so, and (\w+) (\w+)'s wife too\.", got[0])
+    assert a and a[1] == a[4] and a[2] == a[3] == a[5]
+    assert re.fullmatch(r"Prof\. Dr\. \w+ spoke\.", got[1])
+    c = re.fullmatch(r"Mr\. (\w+) (\w+) left, and Mr\. \w+ \w+\.", got[2])
+    assert c and c[2] == a[2]
+    d = re.fullmatch(r"Dr \w+ \w+ (\w+) wrote; (\w+) again, not Jonesville\.", got[3])
+    assert d and d[1] == d[2]
+    assert got[4] == texts[4]
+    assert re.fullmatch(r"Prof\. Dr\. Frau (\w+), \1", got[5])
+
+
 # --- mixing
 
 
