@@ -1,14 +1,25 @@
 """Quality rules with adaptive thresholds (DataFrame functions only).
 
 ``features`` counts words, symbols, repeated lines and repeated word windows of
-each text. ``sketches`` folds four ratios of every document into histogram
-sketches per language and source: a sketch is a map from a rounded value (six
-significant bits, so within 1/32) to a count, two sketches merge by adding
-counts, and the merged sketch is the same in any order of merging. ``fences``
-reads quartiles from the sketches and sets each group's limits at three
-interquartile ranges beyond them, never inside the ``GRACE`` band; a group with
-few documents uses the merged sketch of its language, then of the whole corpus.
-``judge`` joins the limits to the documents and filters.
+each text. ``sketches`` folds four values of every document into quantile
+sketches per language and source: a sketch is a map from a rounded value (nine
+significant bits, so within 1/256) to a count, two sketches merge by adding
+counts, and the merged sketch is the same in any order of merging.
+
+Three of the values are rates, of symbols, repeated lines and repeated words. Most
+texts have none of these, so a plain rate has no spread to measure; with one event
+and one place added ((n + 1) / (m + 1), as in a rule of succession) the rates of
+texts without events spread by their length, which is what one event may weigh
+there. The fourth is the mean length of a word.
+
+``fences`` reads the quartiles q1 and q3 of each group from its sketch and draws
+them toward those of its language, and these toward the whole corpus, by weight of
+documents: the weighted geometric mean own ** (n / (n + PRIOR)) * parent ** (PRIOR /
+(n + PRIOR)). So there is no group size at which a rule switches. A limit lies SPREAD times the quartile ratio beyond the
+quartile: hi = q3 * (q3 / q1) ** SPREAD, lo = q1 * (q1 / q3) ** SPREAD, and a rate
+has an upper one only. The ratio counts as ``RESOLUTION`` at least: one event doubles
+a rate, and a mean is known no better than to a few buckets. ``judge`` joins the
+limits to the documents and filters; a rate without events is never too high.
 
 Nulls: a null text counts as empty; a null language or source is a group of its
 own. A document without words fails the base rule. Repeated rows are judged
@@ -26,14 +37,17 @@ from ._shared import SPACE_CHARS, broadcast_if_small, text_or_empty, words_of, w
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: Groups with fewer documents fall back to the language, then to the corpus.
-MIN_GROUP = 100
-#: Interquartile ranges between a quartile and its fence.
-SPREAD = 3
-#: A limit never falls inside this band: (highest lower limit, lowest upper limit).
-#: Ratios are in units of 1/10000, the mean word length in units of 1/100 characters.
-GRACE = {"symbol": (0, 600), "dup_line": (0, 5000), "repeat_word": (0, 3000), "word_length": (300, 1200)}
-METRICS = tuple(GRACE)
+#: Documents that a group's parent counts for beside the group's own.
+PRIOR = 20
+#: Quartile ratios between a quartile and its fence, by metric.
+SPREAD = {"symbol": 2, "dup_line": 1, "repeat_word": 2, "word_length": 4}
+#: Least quartile ratio: what one event, or a few buckets of the sketch, come to.
+RESOLUTION = {"symbol": 2.0, "dup_line": 2.0, "repeat_word": 2.0, "word_length": 1.02}
+#: The count behind each rate.
+EVENTS = {"symbol": "n_symbols", "dup_line": "n_dup_lines", "repeat_word": "n_repeat_words"}
+METRICS = tuple(SPREAD)
+#: Significant bits of a sketch's buckets.
+SKETCH_BITS = 9
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -87,26 +101,26 @@ def features(docs: DataFrame) -> DataFrame:
     return df.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
 
 
-def ratios() -> dict[str, Column]:
-    """The judged ratios as whole numbers, from the counts of ``features``."""
-    per = lambda a, b, unit: F.expr(f"({unit} * {a}) div greatest({b}, 1)")
+def values() -> dict[str, Column]:
+    """The judged values as whole numbers from 1, from the counts of ``features``: rates per million, the mean word length in thousandths."""
+    rate = lambda n, m: F.expr(f"greatest((1000000 * ({n} + 1)) div ({m} + 1), 1)")
     return {
-        "symbol": per("n_symbols", "word_chars", 10000),
-        "dup_line": per("n_dup_lines", "n_lines", 10000),
-        "repeat_word": per("n_repeat_words", "n_words", 10000),
-        "word_length": per("word_chars", "n_words", 100),
+        "symbol": rate("n_symbols", "word_chars"),
+        "dup_line": rate("n_dup_lines", "n_lines"),
+        "repeat_word": rate("n_repeat_words", "n_words"),
+        "word_length": F.expr("greatest((1000 * word_chars) div greatest(n_words, 1), 1)"),
     }
 
 
 def rounded(value: Column) -> Column:
-    """A value cut to its six leading bits: the sketch's bucket."""
-    shift = F.greatest(F.length(F.bin(value)) - 6, F.lit(0))
+    """A value cut to its leading bits: the sketch's bucket."""
+    shift = F.greatest(F.length(F.bin(value)) - SKETCH_BITS, F.lit(0))
     return F.call_function("shiftleft", F.call_function("shiftright", value, shift), shift)
 
 
 def sketches(counted: DataFrame) -> DataFrame:
     """(lang, source, metric, bucket, n) of documents with words: mergeable by adding n."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), rounded(v).alias("bucket")) for k, v in ratios().items()]))
+    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), rounded(v).alias("bucket")) for k, v in values().items()]))
     return (
         counted.where("n_words > 0")
         .select("lang", "source", pairs.alias("pair"))
@@ -127,41 +141,46 @@ def _quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def fences(sketch: DataFrame, min_group: int = MIN_GROUP, spread: int = SPREAD) -> DataFrame:
-    """One row per (lang, source): <metric>_lo and <metric>_hi, both inclusive."""
-    groups = sketch.select("lang", "source").distinct()
-    own = _quartiles(sketch, ["lang", "source"]).select("lang", "source", "metric", F.struct("docs", "q1", "q3").alias("own"))
-    by_lang = _quartiles(sketch, ["lang"]).select(F.col("lang").alias("l"), F.col("metric").alias("lm"), F.struct("docs", "q1", "q3").alias("by_lang"))
-    overall = _quartiles(sketch, []).select(F.col("metric").alias("am"), F.struct("docs", "q1", "q3").alias("overall"))
-    joined = (
-        own.join(by_lang, own["lang"].eqNullSafe(F.col("l")) & (own["metric"] == F.col("lm")))
-        .join(overall, own["metric"] == F.col("am"))
-        .withColumn("use", F.when(F.col("own.docs") >= min_group, F.col("own")).when(F.col("by_lang.docs") >= min_group, F.col("by_lang")).otherwise(F.col("overall")))
-        .withColumn("width", spread * (F.col("use.q3") - F.col("use.q1")))
-    )
+def _toward(own: str, parent: str, prior: int) -> Column:
+    """The struct (docs, q1, q3) of a group, its quartiles drawn toward its parent's."""
+    drawn = lambda q: F.expr(f"exp(({own}.docs * ln({own}.{q}) + {prior} * ln({parent}.{q})) / ({own}.docs + {prior}))").alias(q)
+    return F.struct(F.col(f"{own}.docs").alias("docs"), drawn("q1"), drawn("q3"))
+
+
+def fences(sketch: DataFrame, prior: int = PRIOR) -> DataFrame:
+    """One row per (lang, source): <metric>_hi of each metric and word_length_lo, doubles, inclusive."""
+    struct = F.struct("docs", "q1", "q3")
+    own = _quartiles(sketch, ["lang", "source"]).select("lang", "source", "metric", struct.alias("own"))
+    by_lang = _quartiles(sketch, ["lang"]).select(F.col("lang").alias("l"), F.col("metric").alias("lm"), struct.alias("by_lang"))
+    overall = _quartiles(sketch, []).select(F.col("metric").alias("am"), struct.alias("overall"))
+    parents = by_lang.join(F.broadcast(overall), by_lang["lm"] == overall["am"]).select("l", "lm", _toward("by_lang", "overall", prior).alias("parent"))
+    joined = own.join(parents, own["lang"].eqNullSafe(F.col("l")) & (own["metric"] == F.col("lm"))).select("lang", "source", "metric", _toward("own", "parent", prior).alias("q"))
     limits = []
     for m in METRICS:
-        lo, hi = GRACE[m]
-        mine = F.col("metric") == m
-        limits += [
-            F.max(F.when(mine, F.least(F.lit(lo).cast("long"), F.col("use.q1") - F.col("width")))).alias(f"{m}_lo"),
-            F.max(F.when(mine, F.greatest(F.lit(hi).cast("long"), F.col("use.q3") + F.col("width")))).alias(f"{m}_hi"),
-        ]
-    limited = joined.groupBy("lang", "source").agg(*limits)
-    return groups.join(limited, groups["lang"].eqNullSafe(limited["lang"]) & groups["source"].eqNullSafe(limited["source"])).select(groups["lang"], groups["source"], *[f"{m}_{s}" for m in METRICS for s in ("lo", "hi")])
+        low, high = F.col("q.q1"), F.col("q.q3")
+        ratio = F.greatest(high / low, F.lit(RESOLUTION[m]))
+        for _ in range(SPREAD[m]):
+            low, high = low / ratio, high * ratio
+        limits += [F.max(F.when(F.col("metric") == m, x)).alias(f"{m}_{s}") for s, x in (("hi", high), ("lo", low)) if f"{m}_{s}" in LIMITS]
+    return joined.groupBy("lang", "source").agg(*limits)
+
+
+#: Columns of the limits. (The corpus has one row of quartiles per metric, so these four are broadcast.)
+LIMITS = (*[f"{m}_hi" for m in METRICS], "word_length_lo")
 
 
 def judge(counted: DataFrame, limits: DataFrame) -> DataFrame:
-    """counted with ``kept``: not base_failed and every ratio within its group's limits."""
-    limits = limits.select(F.col("lang").alias("__pq_lang"), F.col("source").alias("__pq_source"), *[F.col(f"{m}_{s}").alias(f"__pq_{m}_{s}") for m in METRICS for s in ("lo", "hi")])
+    """counted with ``kept``: not base_failed and every value within its group's limits."""
+    limits = limits.select(F.col("lang").alias("__pq_lang"), F.col("source").alias("__pq_source"), *[F.col(x).alias(f"__pq_{x}") for x in LIMITS])
     out = counted.join(limits, counted["lang"].eqNullSafe(F.col("__pq_lang")) & counted["source"].eqNullSafe(F.col("__pq_source")), "left")
     inside = F.lit(True)
-    for m, v in ratios().items():
-        inside = inside & v.between(F.col(f"__pq_{m}_lo"), F.col(f"__pq_{m}_hi"))
+    for m, v in values().items():
+        inside = inside & ((v <= F.col(f"__pq_{m}_hi")) | (F.col(EVENTS[m]) == 0 if m in EVENTS else F.lit(False)))
+    inside = inside & (values()["word_length"] >= F.col("__pq_word_length_lo"))
     return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False))).drop(*limits.columns)
 
 
-def apply_rules(docs: DataFrame, carry: list[str] | None = None, min_group: int = MIN_GROUP, spread: int = SPREAD) -> DataFrame:
+def apply_rules(docs: DataFrame, carry: list[str] | None = None, prior: int = PRIOR) -> DataFrame:
     """Count, sketch, set limits and judge.
 
     docs needs text, lang and source; ``carry`` names the columns to keep (all by
@@ -171,5 +190,5 @@ def apply_rules(docs: DataFrame, carry: list[str] | None = None, min_group: int
     keep = list(dict.fromkeys([*(carry if carry is not None else docs.columns), "lang", "source"]))
     new = [*BASE, "n_lines", "base_failed"]
     counted = written(counted.select(*[c for c in keep if c not in new], *new), "quality-counts")
-    limits = written(fences(sketches(counted), min_group, spread), "quality-limits")
+    limits = written(fences(sketches(counted), prior), "quality-limits")
     return judge(counted, broadcast_if_small(limits, 20_000))

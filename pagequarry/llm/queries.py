@@ -43,10 +43,10 @@ WITH d AS (
   FROM w LEFT JOIN rep ON w.doc_id = rep.doc_id
 ), b AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-         (10000 * n_symbols) // greatest(word_chars, 1) AS v_symbol,
-         (10000 * n_dup_lines) // greatest(n_lines, 1) AS v_dup_line,
-         (10000 * n_repeat_words) // greatest(n_words, 1) AS v_repeat_word,
-         (100 * word_chars) // greatest(n_words, 1) AS v_word_length
+         greatest((1000000 * (n_symbols + 1)) // (word_chars + 1), 1) AS v_symbol,
+         greatest((1000000 * (n_dup_lines + 1)) // (n_lines + 1), 1) AS v_dup_line,
+         greatest((1000000 * (n_repeat_words + 1)) // (n_words + 1), 1) AS v_repeat_word,
+         greatest((1000 * word_chars) // greatest(n_words, 1), 1) AS v_word_length
   FROM c
 ), m AS (
   SELECT lang, source, 'symbol' AS metric, v_symbol AS v FROM b WHERE n_words > 0
@@ -54,7 +54,7 @@ WITH d AS (
   UNION ALL SELECT lang, source, 'repeat_word', v_repeat_word FROM b WHERE n_words > 0
   UNION ALL SELECT lang, source, 'word_length', v_word_length FROM b WHERE n_words > 0
 ), r AS (
-  SELECT lang, source, metric, (v >> greatest(length(bin(v)) - 6, 0)) << greatest(length(bin(v)) - 6, 0) AS bucket, count(*) AS n
+  SELECT lang, source, metric, (v >> greatest(length(bin(v)) - 9, 0)) << greatest(length(bin(v)) - 9, 0) AS bucket, count(*) AS n
   FROM m GROUP BY ALL
 ), q3 AS (
   SELECT lang, source, metric, max(docs) AS docs, min(CASE WHEN upto * 4 >= docs THEN bucket END) AS lower_q,
@@ -76,28 +76,28 @@ WITH d AS (
                sum(n) OVER (PARTITION BY metric) AS docs
         FROM (SELECT metric, bucket, sum(n) AS n FROM r GROUP BY ALL))
   GROUP BY ALL
+), p AS (
+  SELECT q2.lang, q2.metric, exp((q2.docs * ln(q2.lower_q) + 20 * ln(q1.lower_q)) / (q2.docs + 20)) AS lower_q,
+         exp((q2.docs * ln(q2.upper_q) + 20 * ln(q1.upper_q)) / (q2.docs + 20)) AS upper_q
+  FROM q2 JOIN q1 USING (metric)
 ), f AS (
-  SELECT q3.lang, q3.source, q3.metric,
-         CASE WHEN q3.docs >= 100 THEN q3.lower_q WHEN q2.docs >= 100 THEN q2.lower_q ELSE q1.lower_q END AS lower_q,
-         CASE WHEN q3.docs >= 100 THEN q3.upper_q WHEN q2.docs >= 100 THEN q2.upper_q ELSE q1.upper_q END AS upper_q
-  FROM q3 JOIN q2 ON q3.lang IS NOT DISTINCT FROM q2.lang AND q3.metric = q2.metric JOIN q1 ON q3.metric = q1.metric
+  SELECT q3.lang, q3.source, q3.metric, exp((q3.docs * ln(q3.lower_q) + 20 * ln(p.lower_q)) / (q3.docs + 20)) AS lower_q,
+         exp((q3.docs * ln(q3.upper_q) + 20 * ln(p.upper_q)) / (q3.docs + 20)) AS upper_q
+  FROM q3 JOIN p ON q3.lang IS NOT DISTINCT FROM p.lang AND q3.metric = p.metric
 ), g AS (
-  SELECT lang, source, metric,
-         least(lower_q - 3 * (upper_q - lower_q), CASE metric WHEN 'word_length' THEN 300 ELSE 0 END) AS lo,
-         greatest(upper_q + 3 * (upper_q - lower_q),
-                  CASE metric WHEN 'symbol' THEN 600 WHEN 'dup_line' THEN 5000 WHEN 'repeat_word' THEN 3000 ELSE 1200 END) AS hi
-  FROM f
+  SELECT *, greatest(upper_q / lower_q, CAST(CASE metric WHEN 'word_length' THEN 1.02 ELSE 2 END AS DOUBLE)) AS ratio FROM f
 ), h AS (
   SELECT lang, source,
-         max(CASE WHEN metric = 'symbol' THEN lo END) AS lo1, max(CASE WHEN metric = 'symbol' THEN hi END) AS hi1,
-         max(CASE WHEN metric = 'dup_line' THEN lo END) AS lo2, max(CASE WHEN metric = 'dup_line' THEN hi END) AS hi2,
-         max(CASE WHEN metric = 'repeat_word' THEN lo END) AS lo3, max(CASE WHEN metric = 'repeat_word' THEN hi END) AS hi3,
-         max(CASE WHEN metric = 'word_length' THEN lo END) AS lo4, max(CASE WHEN metric = 'word_length' THEN hi END) AS hi4
+         max(CASE WHEN metric = 'symbol' THEN upper_q * ratio * ratio END) AS hi1,
+         max(CASE WHEN metric = 'dup_line' THEN upper_q * ratio END) AS hi2,
+         max(CASE WHEN metric = 'repeat_word' THEN upper_q * ratio * ratio END) AS hi3,
+         max(CASE WHEN metric = 'word_length' THEN upper_q * ratio * ratio * ratio * ratio END) AS hi4,
+         max(CASE WHEN metric = 'word_length' THEN lower_q / ratio / ratio / ratio / ratio END) AS lo4
   FROM g GROUP BY lang, source
 )
 SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND coalesce(v_symbol BETWEEN lo1 AND hi1 AND v_dup_line BETWEEN lo2 AND hi2
-         AND v_repeat_word BETWEEN lo3 AND hi3 AND v_word_length BETWEEN lo4 AND hi4, false) AS kept
+       NOT base_failed AND coalesce((n_symbols = 0 OR v_symbol <= hi1) AND (n_dup_lines = 0 OR v_dup_line <= hi2)
+         AND (n_repeat_words = 0 OR v_repeat_word <= hi3) AND v_word_length BETWEEN lo4 AND hi4, false) AS kept
 FROM b LEFT JOIN h ON b.lang IS NOT DISTINCT FROM h.lang AND b.source IS NOT DISTINCT FROM h.source
 """
 
