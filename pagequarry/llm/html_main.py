@@ -2,7 +2,7 @@
 
 A page's html becomes blocks of text (``page_blocks``): character references
 decoded, white space collapsed, with what the markup says of each block: whether
-it lies in an element that is no content by its tag or label (menus, page
+it lies in an element that is no content by its tag, role or name (menus, page
 headers, footers, sidebars, forms, adverts, notices, comments), whether it lies
 in the page's article, and whether it is running text (paragraph, heading, list
 item, quote).
@@ -50,26 +50,53 @@ RAW = frozenset("script style title textarea noscript iframe xmp noembed noframe
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup td th time tt u var wbr br input".split())
 NO_CONTENT = frozenset("nav footer aside form menu button select template dialog svg canvas audio video object fieldset head".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt figcaption tr".split())
-#: Words in class, id or role that name what is no content.
+#: Names in class or id of what is no content, and words that such a name may be joined with (site-header, ad-slot).
 LABELS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice popup modal newsletter subscribe signup "
     "sidebar menu nav navbar navigation breadcrumb breadcrumbs masthead header footer comment comments disqus respond reply share sharing social related recommended recommendations "
     "toolbar pagination pager widget login search skip".split()
 )
+JOINED = frozenset("site page main global top bottom left right upper lower primary secondary inner outer box bar block container wrapper wrap area section slot unit list links link item items button buttons form row col panel group js the to content".split())
+#: Fixed values of the ARIA standard: landmarks that are no content.
+ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog menu menubar toolbar".split())
 #: Share of the longer page's blocks from which a pair counts as copies of one page, unless both have so many own blocks.
 COPIES = 0.9
 OWN_BLOCKS = 2
 BROADCAST_ROWS = 200_000
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*+)>""", re.DOTALL)
-_LABELLED = re.compile(r"""(?:^|\s)(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
-_WORD = re.compile(r"[a-z]+")
+_LABELLED = re.compile(r"""(?:^|\s)(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
+_PARTS = re.compile(r"[a-z]+")
 
 
-def _labels(attributes: str) -> set[str]:
+def _labels(attributes: str) -> set[tuple[str, str]]:
+    """(attribute, name) of each name in class, id, role and itemprop, in lower case; camel case counts as joined by hyphens."""
     if "=" not in attributes:
         return set()
-    return {w for m in _LABELLED.finditer(attributes) for w in _WORD.findall((m[1] or m[2] or m[3] or "").lower())}
+    named = ((m[1].lower(), m[2] or m[3] or m[4] or "") for m in _LABELLED.finditer(attributes))
+    return {(k, re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()) for k, value in named for name in value.split()}
+
+
+def _no_content(labels: set[tuple[str, str]]) -> bool:
+    """Whether a role or the whole of a name says so; a name with a word of another kind (post-header, share-price) does not."""
+    for k, name in labels:
+        if k == "role" and name in ROLES:
+            return True
+        if k in ("class", "id"):
+            parts = _PARTS.findall(name)
+            if any(x in LABELS for x in parts) and all(x in LABELS or x in JOINED for x in parts):
+                return True
+    return False
+
+
+def _end_of(html: str, tag: str, at: int) -> int:
+    """Where the element of this name that was opened before ``at`` ends, elements of its name inside it counted; ``at`` if it is not closed."""
+    depth = 1
+    for m in re.compile(f"<(/?){re.escape(tag)}(?=[\\s/>])[^>]*>", re.IGNORECASE).finditer(html, at):
+        depth += -1 if m[1] else 1
+        if not depth:
+            return m.end()
+    return at
 
 
 def page_blocks(html: str | None) -> list[tuple[str, bool, bool, bool]]:
@@ -119,7 +146,7 @@ def page_blocks(html: str | None) -> list[tuple[str, bool, bool, bool]]:
                 flush()
             continue
         labels = _labels(m[3]) if not ending else set()
-        named = not ending and not LABELS.isdisjoint(labels)
+        named = not ending and _no_content(labels)
         if not ending and tag in RAW:
             lower = html.lower() if lower is None or len(lower) != len(html) else lower
             end = (lower if len(lower) == len(html) else html).find("</" + tag, at)
@@ -129,8 +156,7 @@ def page_blocks(html: str | None) -> list[tuple[str, bool, bool, bool]]:
             if tag in ("td", "th"):
                 buffer.append(" ")
             elif not ending and named and not m[3].rstrip().endswith("/"):
-                end = re.compile(f"</{re.escape(tag)}\\s*>", re.IGNORECASE).search(html, at)
-                at = end.end() if end else at  # a named inline element leaves its paragraph
+                at = _end_of(html, tag, at)  # a named inline element leaves its paragraph
             continue
         flush()
         if ending:
@@ -149,7 +175,7 @@ def page_blocks(html: str | None) -> list[tuple[str, bool, bool, bool]]:
                 if stack[k][0] in ("li", "dd", "dt", "tr"):
                     close(k)
                     break
-        is_article = tag in ("article", "main") or "articlebody" in labels or ("main" in labels and "role" in m[3].lower())
+        is_article = tag in ("article", "main") or not labels.isdisjoint({("itemprop", "article-body"), ("itemprop", "articlebody"), ("role", "main"), ("role", "article")})
         no_content = tag in NO_CONTENT or named or (tag == "header" and not article)
         no_content = no_content and tag not in ("html", "body")
         stack.append((tag, no_content, is_article))
@@ -204,19 +230,20 @@ def _key(df: DataFrame) -> DataFrame:
 
 def _parsed(pages: DataFrame) -> DataFrame:
     """(host, hh, path, page, hashes, free) of each distinct page, at its first path, without texts; free[k] says that block k goes if it is shared."""
-    schema = "host string, hh long, path string, page long, hashes array<long>, free array<boolean>"
+    schema = "host string, hh long, path string, page string, hashes array<long>, free array<boolean>"
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for host, hh, path, page, html in zip(pdf["host"], pdf["hh"], pdf["path"], pdf["page"].astype("Int64"), pdf["html"], strict=True):
+            for host, hh, path, page, html in zip(pdf["host"], pdf["hh"], pdf["path"], pdf["page"], pdf["html"], strict=True):
                 blocks = page_blocks(html)
                 hashes = np.array([xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) for t, *_ in blocks], np.uint64).view(np.int64)
                 out.append((host, hh, path, page, hashes, [not (art and prose) for _, _, art, prose in blocks]))
-            yield pd.DataFrame(out, columns=["host", "hh", "path", "page", "hashes", "free"]).astype({"page": "Int64"})
+            yield pd.DataFrame(out, columns=["host", "hh", "path", "page", "hashes", "free"])
 
-    keyed = _key(pages).select("host", "hh", _url_part(F.col("url").cast("string"), 2).alias("path"), F.col("page_id").cast("long").alias("page"), F.col("html").cast("string"))
-    parsed = keyed.mapInPandas(rows, schema)
+    keyed = _key(pages).select("host", "hh", _url_part(F.col("url").cast("string"), 2).alias("path"), F.col("page_id").cast("long").cast("string").alias("page"), F.col("html").cast("string"))
+    # Ids travel as strings: beside a null, pandas would make floats of them.
+    parsed = keyed.mapInPandas(rows, schema).withColumn("page", F.col("page").cast("long"))
     once = parsed.groupBy("host", "hh").agg(F.min(F.struct("path", "page")).alias("at"), F.first("hashes").alias("hashes"), F.first("free").alias("free"))
     return once.select("host", "hh", "at.*", "hashes", "free")
 
@@ -302,19 +329,20 @@ def main_text(pages: DataFrame) -> DataFrame:
     """
     gone = shared_blocks(pages)
     gone = broadcast_if_small(written(gone, "html-shared"), BROADCAST_ROWS)
-    keyed = _key(pages).select("host", "hh", F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
+    keyed = _key(pages).select("host", "hh", F.col("page_id").cast("long").cast("string"), F.col("url").cast("string"), F.col("html").cast("string"))
     joined = keyed.join(gone, ["host", "hh"], "left").select("page_id", "url", "html", "gone")
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for page_id, url, html, shared in zip(pdf["page_id"].astype("Int64"), pdf["url"], pdf["html"], pdf["gone"], strict=True):
+            for page_id, url, html, shared in zip(pdf["page_id"], pdf["url"], pdf["html"], pdf["gone"], strict=True):
                 blocks = page_blocks(html)
                 lost = set() if shared is None else {int(k) for k in shared}
                 has_article = any(art and not named for _, named, art, _ in blocks)
                 kept = [t for k, (t, named, art, _) in enumerate(blocks) if k not in lost and not named and (art or not has_article)]
                 text = "\n\n".join(kept)
                 out.append((page_id, url, text, len(text), len(blocks), len(lost)))
-            yield pd.DataFrame(out, columns=["page_id", "url", "text", "n_chars", "n_blocks", "n_shared"]).astype({"page_id": "Int64"})
+            yield pd.DataFrame(out, columns=["page_id", "url", "text", "n_chars", "n_blocks", "n_shared"])
 
-    return joined.mapInPandas(rows, "page_id long, url string, text string, n_chars long, n_blocks long, n_shared long")
+    made = joined.mapInPandas(rows, "page_id string, url string, text string, n_chars long, n_blocks long, n_shared long")
+    return made.withColumn("page_id", F.col("page_id").cast("long"))

@@ -41,6 +41,75 @@ def test_blocks(html, texts):
     assert [b[0] for b in html_main.page_blocks(html)] == texts
 
 
+@pytest.mark.parametrize(
+    "html,kept",
+    [
+        ("<article><div class='post-header'><h1>The title</h1></div><p>x</p></article>", ["The title", "x"]),
+        ("<article><p class='related-work'>a</p><p class='lead share-price'>b</p><section id='search-algorithms'>c</section></article>", ["a", "b", "c"]),
+        ("<article><p>a <span class='ad'>x <span>y</span> LEAK</span> b</p></article>", ["a b"]),
+        ("<div class='site-header'>s</div><div id='cookieBanner'>s</div><div role='navigation'>s</div><div class='ad-slot-2'>s</div><div class=Comments><p>s</div><article>a</article>", ["a"]),
+        ("<p><b class='ad'>not closed</p><p>kept</p>", ["not closed", "kept"]),
+    ],
+)
+def test_names_of_what_is_no_content(html, kept):
+    assert [t for t, named, *_ in html_main.page_blocks(html) if not named] == kept
+
+
+def brute_main_text(site):
+    """Texts of a site {path: (blocks, wrapped)} by a quadratic common subsequence with the pages before and after; wrapped pages keep their article."""
+
+    def aligned(a, b):
+        d = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a)):
+            for j in range(len(b)):
+                d[i + 1][j + 1] = d[i][j] + 1 if a[i] == b[j] else max(d[i][j + 1], d[i + 1][j])
+        return d[-1][-1]
+
+    out, order = {}, sorted(site)
+    for k, path in enumerate(order):
+        blocks, wrapped = site[path]
+        gone = set()
+        for other in order[max(0, k - 1) : k] + order[k + 1 : k + 2]:
+            theirs = site[other][0]
+            assert aligned(blocks, theirs) == len(set(blocks) & set(theirs))  # blocks of a page differ and stand in one order
+            gone |= set(blocks) & set(theirs)
+        out[path] = "\n\n".join(b for b in blocks if (b.startswith("own") if wrapped else b not in gone))
+    return out
+
+
+def test_main_text_equals_brute_force_over_a_site(spark):
+    r = random.Random(3)
+    rows, expected = [], {}
+    for host in ("p", "q"):
+        site = {}
+        for i in range(30):
+            shared = sorted(r.sample(range(12), r.randint(5, 12)))
+            head, foot = [f"t{k:02d}" for k in shared if k < 6], [f"t{k:02d}" for k in shared if k >= 6]
+            own = [f"own {i} {k}" for k in range(r.randint(2, 5))] + ["own passage of all"] * (host == "q")
+            site[f"/{i:02d}"] = ([*head, *own, *foot], host == "q")
+            div = lambda xs: "".join(f"<div>{x}</div>" for x in xs)
+            body = "".join(f"<p>{x}</p>" for x in own)
+            html = f"<html><body>{div(head)}{'<article>' + body + '</article>' if host == 'q' else body}{div(foot)}</body></html>"
+            rows.append((len(rows), f"http://{host}/{i:02d}", html))
+        expected |= {f"http://{host}{path}": text for path, text in brute_main_text(site).items()}
+    got = html_main.main_text(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect()
+    assert {x.url: x.text for x in got} == expected
+    assert sum(x.n_shared for x in got if "//p/" in x.url) > 150
+
+
+def test_ids_beside_nulls_clashing_columns_long_and_repeated_pages(spark):
+    big = 2**60 + 1
+    long_ = "".join(f"<p>paragraph {k}</p>" for k in range(20_000))
+    rows = [(big, "http://z/1", long_), (None, "http://z/2", "<p>b</p>"), (big + 2, "http://z/1", long_), (big, "http://z/1", long_), *[(7, "http://y/1", "<p>same</p>")] * 100]
+    df = spark.createDataFrame([(*x, 1.5, "x") for x in rows], SCHEMA + ", n_chars double, host string").coalesce(1)
+    got = html_main.main_text(df).collect()
+    assert sorted((x.page_id or 0) for x in got) == sorted((x[0] or 0) for x in rows)
+    assert all(x.text == "\n\n".join(f"paragraph {k}" for k in range(20_000)) for x in got if x.url == "http://z/1") and {x.text for x in got if x.page_id == 7} == {"same"}
+    back = warc.payload_report(warc.reassemble(warc.read_archives(spark, warc.write_archives(df)))).collect()
+    assert sorted((x.page_id or 0) for x in back) == sorted((x[0] or 0) for x in rows)
+    assert {x.refers_to for x in back if x.page_id == big} == {big + 2}
+
+
 def test_main_text(spark):
     page = "<body><nav><a>Home</a></nav><div class='top'>Our site</div><article><h1>T{0}</h1><p>Own {0}.<p>Shared passage.</article><div class=ad>Buy {0}</div><footer>f</footer>"
     plain = "<body><div>Our plain site</div><div>First {0}</div><div>Second {0}</div><div>Imprint</div>"
