@@ -115,17 +115,17 @@ def write_archives(pages: DataFrame, path: str | None = None, date: str | None =
     keyed = pages.withColumns({"k": F.sha2("html", 256), "n": F.octet_length("html")})
     heads = keyed.where(F.col("n") >= MIN_REVISIT).groupBy("k").agg(F.max("page_id").alias("head"), F.count("*").alias("times")).where("times > 1").select("k", "head")
     joined = keyed.join(broadcast_if_small(written(heads, "warc-heads"), BROADCAST_ROWS), "k", "left")
-    refers = F.when(F.col("head").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("head")), F.col("head")).alias("refers_to")
+    refers = F.when(F.col("head").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("head")), F.col("head"))
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            ids, refs = (pdf[c].astype("Int64").tolist() for c in ("page_id", "refers_to"))
             out = []
-            for page_id, url, html, ref in zip(ids, pdf["url"], pdf["html"], refs, strict=True):
-                out += page_records(None if pd.isna(page_id) else int(page_id), url, html, None if pd.isna(ref) else int(ref), date)
+            for page_id, url, html, ref in zip(pdf["page_id"], pdf["url"], pdf["html"], pdf["refers_to"], strict=True):
+                out += page_records(page_id and int(page_id), url, html, ref and int(ref), date)
             yield pd.DataFrame({"value": out}, dtype=object)
 
-    records = joined.select("page_id", "url", "html", refers).mapInPandas(rows, "value string")
+    # Ids travel as strings: beside a null, pandas would make floats of them.
+    records = joined.select(F.col("page_id").cast("string"), "url", "html", refers.cast("string").alias("refers_to")).mapInPandas(rows, "value string")
     records.write.option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(path)
     return path
 
@@ -170,12 +170,13 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
             for content in pdf["content"]:
                 out = []
                 for h, block in parse_records(unpacked(content)):
-                    number = lambda k, h=h: int(h[k]) if h.get(k, "null") != "null" else None
+                    number = lambda k, h=h: h[k] if h.get(k, "null") != "null" else None
                     out.append((h["warc-type"], h["warc-record-id"], number("warc-page-id"), h.get("warc-target-uri"), h.get("warc-refers-to"), h.get("warc-payload-digest", "").removeprefix("sha1:") or None, h.get("warc-segment-origin-id"), number("warc-segment-number"), number("warc-segment-total-length"), block))
-                found = pd.DataFrame(out, columns=[x.split()[0] for x in RECORD_SCHEMA.split(", ")])
-                yield found.astype({"page_id": "Int64", "segment": "Int64", "total": "Int64"})
+                yield pd.DataFrame(out, columns=[x.split()[0] for x in RECORD_SCHEMA.split(", ")])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(rows, RECORD_SCHEMA)
+    # Numbers travel as strings: beside a null, pandas would make floats of them.
+    read = spark.read.format("binaryFile").load(path).select("content").mapInPandas(rows, RECORD_SCHEMA.replace("long", "string"))
+    return read.withColumns({k: F.col(k).cast("long") for k in ("page_id", "segment", "total")})
 
 
 @F.pandas_udf(T.BinaryType())
