@@ -139,8 +139,10 @@ def _signature_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def signatures(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, set_hash, bands, sketch, parity) of each row; the last four are null without words."""
-    schema = "doc_id long, n_shingles long, set_hash binary, bands array<long>, sketch array<long>, parity array<long>"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(_signature_rows, schema)
+    # Ids travel as strings: beside a null, pandas would make floats of them.
+    schema = "doc_id string, n_shingles long, set_hash binary, bands array<long>, sketch array<long>, parity array<long>"
+    signed = docs.select(F.col("doc_id").cast("long").cast("string"), F.col("text").cast("string")).mapInPandas(_signature_rows, schema)
+    return signed.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def _confirmed_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
