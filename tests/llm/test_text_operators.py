@@ -300,6 +300,40 @@ def test_bpe_equals_the_library(spark, texts):
     assert bpe.encode_documents(frame(spark, []), path).collect() == []
 
 
+def test_automaton_accepts_one_path_per_string():
+    """All strings of a small vocabulary against merging by rank, pair by pair."""
+    import itertools
+
+    symbols = bpe.byte_symbols()
+    vocab = {c: k for k, c in enumerate([*symbols, *[c + "/" for c in symbols]])}
+    merges = [("a", "b"), ("a", "a"), ("b", "a"), ("ab", "a/"), ("aa", "aa"), ("a", "ab"), ("b", "b/"), ("ba", "ba"), ("aaaa", "a/"), ("b", "ba")]
+    for left, right in merges:
+        vocab[left + right] = len(vocab)
+    automaton = bpe.Automaton(vocab, merges, "/")
+    names = {i: t for t, i in vocab.items()}
+    for n in range(1, 11):
+        for word in map("".join, itertools.product("ab", repeat=n)):
+            parts = [*word[:-1], word[-1] + "/"]
+            for left, right in merges:
+                k, out = 0, []
+                while k < len(parts):
+                    both = parts[k : k + 2] == [left, right]
+                    out.append(left + right if both else parts[k])
+                    k += 1 + both
+                parts = out
+            found = automaton.path(word[:-1] + chr(ord(word[-1]) + bpe.Automaton.END))
+            assert [names[i] for i in found] == parts, word
+
+
+def test_ids_beside_nulls_and_repeated_rows(spark):
+    path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+    big = 2**60 + 1
+    df = spark.createDataFrame([(big, "a b c d e f", "x"), (None, "other words", "x"), (big + 1, None, "x"), (big, "a b c d e f", "x")], "doc_id long, text string, n_tokens string").coalesce(1)
+    ids = sorted([big, big, big + 1, -1])
+    for found in (bpe.encode_documents(df, path), near_dup.signatures(df), media.digests(media.store_media(df))):
+        assert sorted(-1 if r.doc_id is None else r.doc_id for r in found.collect()) == ids
+
+
 # --- secrets
 
 
