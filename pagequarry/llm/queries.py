@@ -229,7 +229,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_media_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document stored as a media file, read back and sniffed."""
-    stored = written(media.store_waves(table(spark, sf_dir, "documents")), "media")
+    stored = written(media.store_media(table(spark, sf_dir, "documents")), "media")
     return media.digests(stored)
 
 

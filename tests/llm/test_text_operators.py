@@ -479,17 +479,71 @@ def test_pii_collisions_are_drawn_again(spark):
 # --- media
 
 
-def test_media_round_trip_and_sniffing(spark, texts):
-    stored = media.store_waves(frame(spark, texts))
-    rows = {r.doc_id: r for r in media.digests(stored).collect()}
+def test_media_digests_equal_files_made_and_read_elsewhere(spark, texts):
+    import gzip
+    import io
+    import struct
+    import wave
+    import zlib
+
+    texts = [*texts, *[f"text {k} é" * (k % 9) for k in range(60)], texts[0], "x" * 300_000]
+    docs = frame(spark, texts).withColumnRenamed("lang", "declared").withColumnRenamed("source", "media")
+    files = {r.doc_id: (r.declared, bytes(r.media)) for r in media.store_media(docs).collect()}
+    rows = {r.doc_id: r for r in media.digests(media.store_media(docs)).collect()}
+    kinds = collections.Counter()
     for i, t in enumerate(texts):
         raw = (t or "").encode()
         payload = raw + b"\0" * (-len(raw) % 64 if raw else 64)
-        assert (rows[i].n_bytes, rows[i].payload_bytes, rows[i].payload_sha256) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
-        assert rows[i].feature.startswith("audio/wav;")
-    sniffed = media.sniff(stored).where("doc_id = 0").first()
-    assert sniffed.corrected and sniffed.sniffed == "audio/wav" and bytes(sniffed.samples).rstrip(b"\0") == texts[0].encode()
-    assert media.digests(media.store_waves(frame(spark, []))).collect() == []
+        said, file = files[i]
+        if file[:4] == b"RIFF":
+            kind = "audio/wav"
+            with wave.open(io.BytesIO(file)) as w:
+                assert (w.getnchannels(), w.getsampwidth()) == (1, 1)
+                held = w.readframes(w.getnframes())
+        elif file[:2] == b"BM":
+            kind, held = "image/bmp", file[struct.unpack_from("<I", file, 10)[0] :]
+        elif file[:2] == b"\x1f\x8b":
+            kind, held = "application/gzip", gzip.decompress(file)
+        else:
+            kind, at, held = "image/png", 8, b""
+            while at < len(file):
+                n = struct.unpack_from(">I", file, at)[0]
+                held += file[at + 8 : at + 8 + n] if file[at + 4 : at + 8] == b"IDAT" else b""
+                at += n + 12
+            held = b"".join(x[1:] for x in (lambda z: [z[k : k + 65] for k in range(0, len(z), 65)])(zlib.decompress(held)))
+        assert held == payload
+        r = rows[i]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
+        assert (r.tail_crc32, r.media_bytes, r.media_sha256) == (zlib.crc32(payload[-64:]), len(file), hashlib.sha256(file).hexdigest())
+        mean = sum(payload) / len(payload)
+        wrong = [f"declared={said}"] if said != kind else []
+        assert r.feature == ";".join([kind, *wrong, f"length={len(file)}", f"mean={mean:.4f}", f"distinct={len(set(payload))}"])
+        assert r.corrected == bool(wrong) and r.carved.startswith("image/png@" if kind == "audio/wav" else "")
+        kinds[kind, r.corrected] += 1
+    assert len(kinds) == 8
+    assert rows[0].feature == rows[len(texts) - 2].feature and rows[0].media_sha256 == rows[len(texts) - 2].media_sha256
+    assert media.digests(media.store_media(frame(spark, []))).collect() == []
+
+
+def test_media_sniffing_corrects_and_carves(spark, texts):
+    import zlib
+
+    found = media.sniff(media.store_media(frame(spark, texts)), "declared").collect()
+    assert len(found) == len(texts)
+    for r in found:
+        payload = media.padded((texts[r.doc_id] or "").encode())
+        assert bytes(r.payload) == payload and r.length == len(r.media)
+        assert [(c.type, zlib.crc32(media.png_pixels(bytes(c.content)))) for c in r.carved] == ([("image/png", zlib.crc32(payload[-64:]))] if r.sniffed == "audio/wav" else [])
+    assert media.sniff(spark.createDataFrame([(1, None), (None, bytearray(b"%PDF-" * 3))], "doc_id long, media binary")).select("sniffed").distinct().count() == 2
+
+
+def test_media_full_of_signatures_is_read_once():
+    import time
+
+    for mark in (b"%PDF-", b"PK\x03\x04", b"PK\x05\x06" * 6, b"%PDF-startxref%%EOF"):
+        began = time.perf_counter()
+        media.sniff_bytes(b"x" + mark * (2_000_000 // len(mark)))
+        assert time.perf_counter() - began < 8
 
 
 def test_media_carving():
@@ -502,6 +556,15 @@ def test_media_carving():
     packed = gzip.compress(b"hello" * 9)
     blob = b"BM RIFF" + packed + b"PK\x03\x04" + png[:-1] + b"%PDF-" + png
     kind, _, carved = media.sniff_bytes(media.wave_of(media.padded(blob)))
+    import io
+    import zipfile
+
+    box = io.BytesIO()
+    with zipfile.ZipFile(box, "w") as z:
+        z.writestr("a.txt", "hello")
+    pdf = b"%PDF-1.4\n1 0 obj\nstartxref\n9\n%%EOF"
+    kind_, _, found = media.sniff_bytes(media.wave_of(b"ab" + box.getvalue() + pdf))
+    assert kind_ == "wave" and [(k, n) for k, _, n in found] == [("zip", len(box.getvalue())), ("pdf", len(pdf))]
     assert kind == "wave" and [(k, n) for k, _, n in carved] == [("gzip", len(packed)), ("png", len(png))]
     assert media.sniff_bytes(png)[:2] == ("png", len(png))
     assert media.sniff_bytes(png[:-3])[0] == "unknown"
