@@ -241,6 +241,71 @@ def test_names_of_any_form_and_their_words_later(spark):
     assert re.fullmatch(r"Prof\. Dr\. Frau (\w+), \1", got[5])
 
 
+def test_surrogates_across_formats_and_titles(spark):
+    texts = [
+        "Mr. John Smith came. Later Smith left; John Smith wrote.",
+        "Dr John Smith-Jones met Frau Jones-Smith.",
+        "+1 (988) 555-2485 or 988-555-2485 or (988) 555-2485, not 988-555-2486",
+        "Ann.B@Mail.example.org, ann.b@mail.example.org",
+        "4111 1111 1111 1111 4111-1111-1111-1111 4111111111111111",
+    ]
+    df = spark.createDataFrame([(i, t, "theirs", 4) for i, t in enumerate(texts)], "doc_id long, text string, lang string, n_phone int")
+    got = [r.text for r in pii.replace_pii(df.unionAll(df), "k").orderBy("doc_id").collect()]
+    assert got[::2] == got[1::2]
+    got = got[::2]
+    a = re.fullmatch(r"Mr\. (\w+) (\w+) came\. Later (\w+) left; (\w+) (\w+) wrote\.", got[0])
+    assert a and a[1] == a[4] and a[2] == a[3] == a[5] and a[1] in pii.GIVEN["m", "latin"]
+    b = re.fullmatch(r"Dr (\w+) (\w+)-(\w+) met Frau (\w+)-(\w+)\.", got[1])
+    assert b and b[1] == a[1] and b[2] == b[5] == a[2] and b[3] == b[4] != b[2]
+    c = re.fullmatch(r"\+1 \((\d{3})\) (\d{3})-(\d{4}) or (\d{3})-(\d{3})-(\d{4}) or \((\d{3})\) (\d{3})-(\d{4}), not (\d{3}-\d{3}-\d{4})", got[2])
+    assert c and c.groups()[:3] == c.groups()[3:6] == c.groups()[6:9] and c[10] != "-".join(c.groups()[:3]) and c.groups()[:3] != ("988", "555", "2485")
+    d = got[3].split(", ")
+    assert d[0].lower() == d[1] and d[0][0].isupper() and d[0][4].isupper() and d[1] != texts[3].split(", ")[1]
+    e = re.fullmatch(r"(\d{4} \d{4} \d{4} \d{4}) (\d{4}-\d{4}-\d{4}-\d{4}) (\d{16})", got[4])
+    assert e and e[1].replace(" ", "") == e[2].replace("-", "") == e[3] != "4" + "1" * 15
+    other = [r.text for r in pii.replace_pii(df, "another").orderBy("doc_id").collect()]
+    assert all(x != y for x, y in zip(got, other, strict=True))
+
+
+def brute_pii(texts, key):
+    """Texts with surrogates for numbers, without Spark: the scheme of the docstring, text by text (no collisions)."""
+
+    def digest(kind, value):
+        first = hashlib.sha256(f"{key}|{kind}|{value}|0".encode()).hexdigest()
+        return bytes.fromhex(first + hashlib.sha256((first + "+").encode()).hexdigest())
+
+    def scrambled(value, d):
+        return "".join(str(d[i % 64] % 10) if c.isdigit() else chr(97 + d[i % 64] % 26) if c.islower() else c for i, c in enumerate(value))
+
+    def one(m):
+        if m["ip"]:
+            d = digest("ip", m["ip"])
+            return f"{240 + d[0] % 15}.{d[1]}.{d[2]}.{d[3]}"
+        if m["phone"]:
+            plain = re.sub("[^0-9]", "", m["phone"])
+            made = iter(scrambled(plain, digest("phone", plain)))
+            return "".join(next(made) if c.isdigit() else c for c in m["phone"])
+        local, _, host = m["mail"].partition("@")
+        d = digest("email", m["mail"])
+        inner = ".".join(host.split(".")[:-2])
+        return scrambled(local, d) + "@" + (scrambled(inner, bytes.fromhex(d.hex()[::-1])) + "." if inner else "") + ("example.com", "example.net", "example.org")[d[63] % 3]
+
+    pattern = re.compile(r"(?P<ip>\b\d+\.\d+\.\d+\.\d+\b)|(?P<phone>\b\d{3}-\d{3}-\d{4}\b)|(?P<mail>[a-z0-9]+@[a-z.]+[a-z])")
+    return [pattern.sub(one, t) for t in texts]
+
+
+def test_surrogates_equal_brute_force(spark):
+    r = random.Random(41)
+    pool = [f"{r.randint(1, 255)}.{r.randint(0, 255)}.{r.randint(0, 255)}.{r.randint(0, 255)}" for _ in range(40)]
+    pool += [f"{r.randint(100, 999)}-{r.randint(100, 999)}-{r.randint(1000, 9999)}" for _ in range(40)]
+    pool += ["".join(r.choice("abcdefgh") for _ in range(9)) + r.choice(["@mail.example.org", "@test.net", "@a.b.example.com"]) for _ in range(40)]
+    texts = [" ".join(r.choice([r.choice(pool), f"word{k}", "and"]) for k in range(r.randint(1, 40))) for _ in range(200)] + ["long " * 50_000 + pool[0]]
+    got = {x.doc_id: x.text for x in pii.replace_pii(frame(spark, texts), "brute").collect()}
+    assert [got[i] for i in range(len(texts))] == brute_pii(texts, "brute")
+    values = pii.entities(frame(spark, texts))
+    assert pii.exceptions(values, "brute").count() == 0
+
+
 # --- mixing
 
 
@@ -469,9 +534,9 @@ def test_pii_collisions_are_drawn_again(spark):
     names = [f"Mr {a}{b}{c}" for a in "BCDFGHKLMNPRST" for b in "aeiou" for c in ("lam", "rok", "ten", "vis", "mond", "garth", "berg", "stein", "worth", "dale", "field", "ley", "ton", "son", "man")]
     values = pii.entities(spark.createDataFrame([(1, "; ".join(names))], "doc_id long, text string"))
     assert values.count() == len(names)
-    odd = {(r.kind, r.value): r.attempt for r in pii.exceptions(values).collect()}
+    odd = {(r.kind, r.value): r.attempt for r in pii.exceptions(values, "some key").collect()}
     assert odd
-    text = pii.replace_pii(spark.createDataFrame([(1, "; ".join(names))], "doc_id long, text string")).first().text
+    text = pii.replace_pii(spark.createDataFrame([(1, "; ".join(names))], "doc_id long, text string"), "some key").first().text
     made = text.split("; ")
     assert len(set(made)) == len(names) and not set(made) & set(names)
 
