@@ -121,13 +121,13 @@ def edits(a, b):
     return row[-1]
 
 
-def brute_lines(docs):
+def brute_lines(docs, near_from=20):
     seen, out = [], {}
     for i, t in sorted(docs):
         kept = []
         for raw in (t or "").split("\n"):
             line = raw.strip(" \t\n\x0b\f\r")
-            gone = bool(line) and any(line == x or (min(len(line), len(x)) >= 20 and edits(line, x) <= 1) for x in seen)
+            gone = bool(line) and any(line == x or (min(len(line), len(x)) >= near_from and edits(line, x) <= 1) for x in seen)
             if line:
                 seen.append(line)
             if not gone:
@@ -152,6 +152,17 @@ def test_line_dedup_matches_brute_force(spark):
     assert all(x == "keep" for _, x in got.values())
 
 
+def test_line_dedup_of_short_lines_and_long_texts(spark):
+    r = random.Random(19)
+    docs = [(i, "\n".join("".join(r.choice("ab") for _ in range(r.randint(1, 9))) for _ in range(r.randint(0, 12)))) for i in range(60)]
+    docs.append((60, "\n".join(f"line {k} of a text that has very many of them, {k * 7919 % 10007}" for k in range(20_000))))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {x.doc_id: x.text for x in line_dedup.dedup_lines(df, near_from=4).where("doc_id < 60").collect()}
+    assert got == brute_lines(docs[:60], 4)
+    with pytest.raises(ValueError):
+        line_dedup.dedup_lines(df, near_from=3)
+
+
 def test_line_dedup_of_empty_and_repeated_rows(spark):
     assert line_dedup.dedup_lines(frame(spark, [])).collect() == []
     df = spark.createDataFrame([(1, "a b\nc"), (1, "a b\nc"), (None, "c\nd"), (2, "c")], "doc_id long, text string")
@@ -185,6 +196,38 @@ def test_near_duplicates_match_brute_force(spark, texts):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, r in rows.items() if r.kept)
 
 
+def test_recall_of_pairs_just_above_the_similarity(spark):
+    """Two thousand pairs at 0.75 to 0.80, each of words of its own, so that only their own link joins them."""
+    r = random.Random(21)
+    texts, near = [], 0
+    while near < 2000:
+        n = r.randint(60, 200)
+        base = [f"p{near}x{k}" for k in range(n)]
+        other = list(base)
+        for k in r.sample(range(n), r.randint(1, 8)):
+            other[k] = f"q{near}x{k}"
+        a, b = ({tuple(w[k : k + 5]) for k in range(n - 4)} for w in (base, other))
+        if 0.75 <= len(a & b) / len(a | b) < 0.80:
+            texts += [" ".join(base), " ".join(other)]
+            near += 1
+    rows = {x.doc_id: x.component_id for x in near_dup.near_duplicates(frame(spark, texts)).collect()}
+    assert sum(rows[2 * k] == rows[2 * k + 1] == 2 * k for k in range(2000)) >= 1990
+    assert all(rows[k] in (k, k - k % 2) for k in range(4000))
+
+
+def test_the_last_step_finds_what_hubs_miss(spark, monkeypatch):
+    """Texts of one boilerplate, alike in pairs: blocks of four documents, no star rounds."""
+    monkeypatch.setattr(near_dup, "BLOCK", 4)
+    r = random.Random(22)
+    common = words(r, 90, 10**6)
+    texts = []
+    for k in range(30):
+        own = [f"own{k}x{i}" for i in range(60 + k)]
+        texts += [" ".join(common + own), " ".join(common + own[:-1] + ["end"])]
+    rows = {x.doc_id: x.component_id for x in near_dup.near_duplicates(frame(spark, texts), star_rounds=0).collect()}
+    assert [rows[i] for i in range(60)] == [g for _, g in brute_groups(texts)]
+
+
 def test_near_duplicates_of_an_empty_table_and_null_ids(spark):
     assert near_dup.near_duplicates(frame(spark, [])).collect() == []
     df = spark.createDataFrame([(None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f")], "doc_id long, text string")
