@@ -3,7 +3,10 @@
 A line is the text between two ``\\n``, compared without the white space at its
 ends. An occurrence goes if an earlier one, in order of (doc_id, line number),
 has an equal line, or one within one edit (a character inserted, deleted or
-replaced) where both have ``MIN_NEAR`` characters or more. The rule is about
+replaced) where both have ``near_from`` characters or more: the edit bound goes by
+length, 0 below ``near_from`` and 1 from there on. In a short line one edit makes another
+word ("page 1", "page 2"), so the production value is ``NEAR_FROM``; 4 is the least, where
+all but the shortest lines are compared with one edit. The rule is about
 pairs, not chains: it does not matter whether the earlier line itself stays.
 Lines without a word are never compared and always stay.
 
@@ -31,8 +34,8 @@ from pyspark.sql.window import Window
 
 from ._shared import SPACE_CHARS, broadcast_if_small, text_or_empty, written
 
-#: Shorter lines are compared for equality only: one edit makes another word of them.
-MIN_NEAR = 20
+#: Length from which lines are compared with one edit, shorter ones for equality.
+NEAR_FROM = 20
 #: Most rows of a line list that is broadcast (about 40 bytes each); longer lists are joined by shuffle.
 BROADCAST_ROWS = 400_000
 LAST = 2**63 - 1
@@ -59,9 +62,9 @@ def _half_keys() -> Column:
     return F.array(begins(half), ends(half), F.when(odd, ends(half + 1)).otherwise(begins(half - 1)))
 
 
-def _first_lines(docs: DataFrame) -> DataFrame:
+def _first_lines(docs: DataFrame, near_from: int) -> DataFrame:
     """One row per distinct line: its hash, number of occurrences, first place and half keys."""
-    rows = _lines(docs).withColumn("keys", F.when(F.col("len") >= MIN_NEAR, _half_keys()))
+    rows = _lines(docs).withColumn("keys", F.when(F.col("len") >= near_from, _half_keys()))
     return rows.groupBy("h", "len").agg(F.count("*").alias("n"), F.min(F.struct("d", "pos", "th")).alias("first"), F.max("keys").alias("keys"))
 
 
@@ -109,9 +112,11 @@ def _near_lines(texts: DataFrame) -> DataFrame:
     return verified.select("h", "len").distinct()
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
+def removed_lines(docs: DataFrame, near_from: int = NEAR_FROM) -> DataFrame:
     """(d, th, gone): for each document that loses lines, the sorted numbers of these lines."""
-    firsts = written(_first_lines(docs), "line-firsts")
+    if near_from < 4:
+        raise ValueError("near_from is 4 at least")
+    firsts = written(_first_lines(docs, near_from), "line-firsts")
     keyed = firsts.where("keys is not null").select("h", F.explode("keys").alias("key"))
     halves = broadcast_if_small(written(_shared(keyed, "key").select("h").distinct(), "line-halves"), BROADCAST_ROWS)
     maybe = written(firsts.where("keys is not null").join(halves, "h", "left_semi").select("h", "len", "first"), "line-maybe")
@@ -124,14 +129,14 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     return gone.groupBy("d", "th").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, near_from: int = NEAR_FROM) -> DataFrame:
     """docs (doc_id, text and any other columns) with the remaining lines as text.
 
     Adds n_lines (lines with a word), n_removed and emptied (it had words and has
     none left), replacing columns of these names. The text of a document that
     loses nothing is unchanged; a null text stays null.
     """
-    gone = removed_lines(docs).select(F.col("d").alias("__pq_d"), F.col("th").alias("__pq_th"), F.col("gone").alias("__pq_gone"))
+    gone = removed_lines(docs, near_from).select(F.col("d").alias("__pq_d"), F.col("th").alias("__pq_th"), F.col("gone").alias("__pq_gone"))
     key = (F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)) == F.col("__pq_d")) & (F.xxhash64(docs["text"]) == F.col("__pq_th"))
     df = docs.join(gone, key, "left")
     has_word = lambda x: F.btrim(x, F.lit(SPACE_CHARS)) != ""
