@@ -63,3 +63,15 @@ def test_stages_return_the_columns_of_documents(spark):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, "").columns == docs.columns, name
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality rules", "line dedup", "near-duplicates", "mixture", "tokens"]
+
+
+def test_columns_with_the_names_of_the_stages_own_pass_through(spark):
+    names = ["n_words", "kept", "n_lines", "emptied", "epoch", "domain", "n_tokens", "component_id", "lo"]
+    rows = [(*r, *[f"{c} of {r[0]}" for c in names]) for r in corpus()]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in names)
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns, name
+        found = out.collect()
+        assert found and all(r[c] == f"{c} of {r.doc_id}" for r in found for c in names), name
