@@ -7,6 +7,8 @@ the columns of ``documents``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,25 +17,36 @@ from pagequarry.llm._shared import table, written
 from pagequarry.llm.queries import TOKENIZER
 
 
+#: Columns that the stages read; all others only pass through.
+READ = ("doc_id", "text", "lang", "source")
+
+
+def _applied(stage: Callable[[DataFrame], DataFrame], docs: DataFrame) -> DataFrame:
+    """stage(docs) with the columns of docs: those that no stage reads go under names of their own meanwhile, as an operator may make columns of their names."""
+    names = {c: c if c in READ else f"__in_{k}" for k, c in enumerate(docs.columns)}
+    out = stage(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]))
+    return out.select(*[F.col(n).alias(c) for c, n in names.items()])
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return quality_rules.apply_rules(docs).where("kept").select(*docs.columns)
+    return _applied(lambda df: quality_rules.apply_rules(df).where("kept"), docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that an earlier line repeats; one that has no line left goes."""
-    deduped = line_dedup.dedup_lines(docs).where("not emptied")
-    return deduped.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    out = _applied(lambda df: line_dedup.dedup_lines(df).where("not emptied"), docs)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near copies."""
-    return near_dup.drop_near_duplicates(docs).select(*docs.columns)
+    return _applied(near_dup.drop_near_duplicates, docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The production mixture; a document comes once for each epoch that takes it."""
-    return mixing.mix(docs).select(*docs.columns)
+    return _applied(mixing.mix, docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
