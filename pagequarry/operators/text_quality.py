@@ -35,33 +35,34 @@ def tokens_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value) with the value computed once: inside a function over an array an expression would be computed again for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def phrases_in(text: Column, phrases: tuple[str, ...]) -> Column:
     """The phrases that a text contains, in the list's order."""
-    low = F.lower(text)
-    return F.filter(F.array(*[F.when(F.contains(low, F.lit(p)), F.lit(p)) for p in phrases]), lambda p: p.isNotNull())
+    return F.array_compact(_bound(F.lower(text), lambda low: F.array(*[F.when(F.contains(low, F.lit(p)), F.lit(p)) for p in phrases])))
 
 
 def repeated_bigrams(tokens: Column) -> Column:
     """Share of distinct bigrams that occur more than once; 0 for fewer than four tokens.
 
-    The bigrams are sorted, so an equal neighbour shows a repetition: the number of
-    distinct repeated bigrams is that of positions equal to the one before and
+    The bigrams' 64-bit hashes are sorted, so an equal neighbour shows a repetition: the
+    number of distinct repeated bigrams is that of positions equal to the one before and
     different from the one before that.
     """
-    n = F.size(tokens)
-    grams = F.sort_array(F.transform(F.slice(tokens, F.lit(1), F.greatest(n - 1, F.lit(0))), lambda t, i: F.concat_ws(" ", t, F.get(tokens, i + 1))))
-    runs = F.aggregate(
-        grams,
-        F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("distinct"), F.lit(0).alias("repeated")),
-        lambda s, g: F.struct(
-            g.alias("last"),
-            F.when(s["last"] == g, s["run"] + 1).otherwise(1).alias("run"),
-            (s["distinct"] + (s["last"] != g).cast("int")).alias("distinct"),
-            (s["repeated"] + ((s["last"] == g) & (s["run"] == 1)).cast("int")).alias("repeated"),
-        ),
-        lambda s: F.when(s["distinct"] > 0, s["repeated"] / s["distinct"]).otherwise(0.0),
-    )
-    return F.when(n < 4, F.lit(0.0)).otherwise(runs)
+
+    def share(words: Column) -> Column:
+        return _bound(F.sort_array(F.transform(F.slice(words, F.lit(1), F.size(words) - 1), lambda t, i: F.xxhash64(t, F.get(words, i + 1)))), counted)
+
+    def counted(grams: Column) -> Column:
+        before = lambda i, k: F.get(grams, i - k)
+        first = F.filter(grams, lambda g, i: (i == 0) | (g != before(i, 1)))
+        again = F.filter(grams, lambda g, i: F.coalesce(g == before(i, 1), F.lit(False)) & ((i == 1) | F.coalesce(g != before(i, 2), F.lit(True))))
+        return F.size(again) / F.size(first)
+
+    return F.when(F.size(tokens) < 4, F.lit(0.0)).otherwise(_bound(tokens, share))
 
 
 def half_even(x: Column) -> Column:
