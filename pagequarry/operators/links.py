@@ -129,3 +129,8 @@ def sitemap_coverage(sitemap: DataFrame, crawl: DataFrame) -> DataFrame:
         .when(F.col("canonical").isNotNull() & (F.col("canonical") != F.col("url")), "non-canonical")
     )
     return joined.select("url", problem.alias("problem")).where("problem is not null")
+
+
+def first_of(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Of rows with equal keys the first in the given order, its key and order columns; found within tasks before any shuffle, so a frequent key is no task of its own."""
+    return rows.groupBy(*keys).agg(F.min(F.struct(*order)).alias("__first")).select(*keys, "__first.*")

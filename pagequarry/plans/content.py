@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from pagequarry.functions import urls
-from pagequarry.operators import claims, sections, text_quality
+from pagequarry.operators import claims, links, sections, text_quality
 
 from ._sql import AUTHORITY, HOST, PATH, SECTION, listed, table
 
@@ -238,8 +237,7 @@ def w04(spark, sf):
 )
 def l06(spark, sf):
     """Ordered dedupe: of equal turns, the first."""
-    first = Window.partitionBy("role", "text").orderBy("conv_id", "turn")
-    return table(spark, sf, "conversations").withColumn("k", F.row_number().over(first)).where("k = 1").select("conv_id", "turn", "role")
+    return links.first_of(table(spark, sf, "conversations"), ["role", "text"], ["conv_id", "turn"]).select("conv_id", "turn", "role")
 
 
 @query("t07_claims")

@@ -71,8 +71,8 @@ def envelope_items(rows: DataFrame, item: str, body: str = "body", pos: str = "i
 
 def metric_points(rows: DataFrame, metric: str = "metric", weeks: str = "weeks", values: str = "p75s") -> DataFrame:
     """Parallel arrays of weeks and values as one row per week; nulls stay."""
-    zipped = F.arrays_zip(F.col(weeks).alias("week"), F.col(values).alias("p75"))
-    return rows.select("url", metric, F.explode(zipped).alias("x")).select("url", metric, F.col("x")[weeks].alias("week"), F.col("x")[values].alias("p75"))
+    rows = rows.select("url", metric, F.posexplode(weeks).alias("pos", "week"), values)
+    return rows.select("url", metric, "week", F.get(values, F.col("pos")).alias("p75"))
 
 
 def last_months(volumes: Column, n: int = 12) -> Column:
