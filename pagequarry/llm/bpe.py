@@ -1,6 +1,6 @@
 """BPE encoding and decoding by a deterministic tokenization automaton.
 
-``Automaton`` compiles the merges on the driver. A state stands for the token read
+``Automaton`` compiles the merges, in one task. A state stands for the token read
 last (and one for the start of a word), an arc for the token that follows. At first
 there are the base symbols, and every arc exists. Each merge (u, v) -> w, in order of
 rank, adds its gadget: w gets the arcs into it that u has, the arcs out of it that v
@@ -11,7 +11,8 @@ left accepts one path per word, its encoding.
 States with equal arcs share a row of the transition table and tokens with equal arcs
 into them a column; a gadget copies a row or column only when it first differs. So the
 table of a vocabulary of 49,000 tokens has about 11,600 rows and 13,800 columns of bits,
-20 MB, made in two seconds. It is broadcast with the labels of the arcs.
+20 MB, made in two seconds. Packed, it is a few megabytes, which are broadcast with the
+labels of the arcs.
 
 A word's bytes run through the trie of the labels with failure links, which names the
 arcs that end at each byte; the table says which of them leaves the state where it
@@ -33,20 +34,23 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+import pickle
 import re
 import struct
 import unicodedata
+import zlib
 from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A worker forgets its known words beyond so many, which only costs time.
-MOST_KNOWN = 300_000
+MOST_KNOWN = 150_000
 #: Characters below this one are split with spelled-out classes.
 NEAR = 0x250
 
@@ -226,20 +230,37 @@ class Tokenizer:
         return b" ".join(map(self.encoded_labels.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-@functools.lru_cache(maxsize=2)
-def compiled(path: str) -> Tokenizer:
-    """The tokenizer of a file that the driver can read, compiled once."""
+def _packed(spark: SparkSession, path: str) -> bytes:
+    """The tokenizer of a file that the driver can read, compiled in one task and packed: the driver holds only the few megabytes that it broadcasts."""
     with open(path, encoding="utf-8") as f:
-        return Tokenizer(f.read())
+        spec = spark.createDataFrame([(f.read(),)], "spec string")
+
+    @F.udf("binary")
+    def compiled(spec: str) -> bytes:
+        return zlib.compress(pickle.dumps(Tokenizer(spec), pickle.HIGHEST_PROTOCOL), 6)
+
+    return bytes(spec.select(compiled("spec")).first()[0])
+
+
+@functools.lru_cache(maxsize=2)
+def _unpacked(packed: bytes) -> Tokenizer:
+    """A worker process unpacks a tokenizer once, whatever number of tasks it runs."""
+    return pickle.loads(zlib.decompress(packed))
+
+
+@functools.lru_cache(maxsize=2)
+def _shared(spark: SparkSession, path: str) -> Broadcast:
+    """The packed tokenizer, broadcast once a session."""
+    return spark.sparkContext.broadcast(_packed(spark, path))
 
 
 def encode_column(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """docs with an array<int> column of token ids in place of any column of that name."""
-    shared = docs.sparkSession.sparkContext.broadcast(compiled(path))
+    shared = _shared(docs.sparkSession, path)
 
     @F.pandas_udf("array<int>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        t = shared.value
+        t = _unpacked(shared.value)
         for s in batches:
             yield pd.Series([np.frombuffer(t.encode(x or ""), "<u4").astype(np.int32) for x in s])
 
@@ -248,11 +269,11 @@ def encode_column(docs: DataFrame, path: str, text: str = "text", ids: str = "id
 
 def decode_column(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """docs with the text of an array<int> column of token ids; null ids decode to the empty string."""
-    shared = docs.sparkSession.sparkContext.broadcast(compiled(path))
+    shared = _shared(docs.sparkSession, path)
 
     @F.pandas_udf("string")
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        t = shared.value
+        t = _unpacked(shared.value)
         for s in batches:
             yield pd.Series([t.decode(np.asarray(x if x is not None else [], "<u4").tobytes()) for x in s])
 
@@ -265,11 +286,11 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = True) -> DataF
     The digests are of the ids as little-endian 32-bit integers and of the decoded
     text in UTF-8; ids (array<int>) are left out without ``with_ids``.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(compiled(path))
+    shared = _shared(docs.sparkSession, path)
     names = ["doc_id", "n_tokens", *["ids"] * with_ids, "ids_sha256", "decoded_sha256"]
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        t = shared.value
+        t = _unpacked(shared.value)
         for pdf in batches:
             out = []
             for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
