@@ -95,7 +95,8 @@ def budgets(leaves: DataFrame, budget_percent: int = BUDGET_PERCENT, max_epochs:
         keys = [*above, level]
         children = leaves.groupBy(*keys).agg(F.sum("capacity").alias("capacity")).withColumn("weight", weight_of(F.col(level), weights))
         children = children.crossJoin(F.broadcast(budget)) if node is None else children.join(node, above)
-        node = _fill(children, above, level).select(*keys, F.col("share").alias("budget"))
+        # A table as small as the tree; written, as the levels' windows on top of each other are a plan that takes the driver much memory.
+        node = written(_fill(children, above, level).select(*keys, F.col("share").alias("budget")), f"mix-{level}")
         above = keys
     return leaves.join(node, list(LEVELS)).select(*LEVELS, "tokens", F.col("budget").alias("share"))
 
