@@ -34,6 +34,11 @@ def as_of(snapshots: DataFrame, cutoff: Column) -> DataFrame:
     return latest(snapshots.where(F.col("captured_at") <= cutoff))
 
 
+def chosen(snapshots: DataFrame, choices: DataFrame) -> DataFrame:
+    """The snapshots that choices (url_hash, id) name, to compare pages with a baseline of one's choice instead of the latest."""
+    return snapshots.join(choices.select("url_hash", "id").distinct(), ["url_hash", "id"], "left_semi")
+
+
 @F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity of two strings."""

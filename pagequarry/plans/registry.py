@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import audits, content, metrics, records, sites
+from . import audits, content, metrics, records, responses, sites
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _module in (content, metrics, sites, audits, records):
+for _module in (content, metrics, sites, audits, records, responses):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL

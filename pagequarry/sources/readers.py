@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 # Byte order marks, longest first.
 MARKS = ((codecs.BOM_UTF32_LE, "utf-32"), (codecs.BOM_UTF32_BE, "utf-32"), (codecs.BOM_UTF8, "utf-8-sig"), (codecs.BOM_UTF16_LE, "utf-16"), (codecs.BOM_UTF16_BE, "utf-16"))
+# Extensions of images.
+IMAGE_EXTENSIONS = (".jpg", ".jpeg", ".png", ".webp", ".tif", ".tiff")
 _META = re.compile(rb"""<meta[^>]+charset\s*=\s*["']?\s*([A-Za-z0-9_.:-]+)""", re.IGNORECASE)
 _CHARSET = re.compile(r"""charset\s*=\s*["']?\s*([A-Za-z0-9_.:-]+)""", re.IGNORECASE)
 
@@ -146,3 +148,9 @@ def batch_plan(spark: SparkSession, path: str, ratio: str = "16:9", resolution:
     given = lambda name, default: F.coalesce(F.nullif(F.trim(name), F.lit("")) if name in rows.columns else F.lit(None).cast("string"), F.lit(default)).alias(name)
     prompt = F.nullif(F.trim("prompt"), F.lit(""))
     return rows.where(prompt.isNotNull()).select(prompt.alias("prompt"), given("ratio", ratio), given("resolution", resolution), given("model", model)), rows.where(prompt.isNull())
+
+
+def image_files(spark: SparkSession, path: str) -> DataFrame:
+    """The image files below a folder with their length and extension; their bytes are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime")
+    return files.withColumn("extension", F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))).where(F.col("extension").isin(*IMAGE_EXTENSIONS))
