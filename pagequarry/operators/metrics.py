@@ -63,10 +63,18 @@ def spend_on_day(ledger: DataFrame, day: str, limit: float, time: str = "timesta
 
 
 def budget_to_date(ledger: DataFrame, limit: float, time: str = "timestamp", cost: str = "cost", tie: str = "event_id") -> DataFrame:
-    """ledger with spent_before (the day's cost before a call, in order of time) and allowed (the call fits the day's limit)."""
-    day = Window.partitionBy(F.to_date(time)).orderBy(time, tie).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(cost).over(day), F.lit(0.0))
-    return ledger.withColumn("spent_before", F.round(before, 4)).withColumn("allowed", F.col("spent_before") + F.col(cost) <= limit)
+    """ledger with spent_before (the day's cost before a call, in order of time) and allowed (the call fits the day's limit).
+
+    Costs are summed by minute first, so that a busy day is the work of many tasks.
+    """
+    keyed = ledger.withColumn("__pq_minute", F.date_trunc("minute", time))
+    before = lambda window: F.coalesce(F.sum(cost).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    minutes = keyed.groupBy("__pq_minute").agg(F.sum(cost).alias(cost))
+    minutes = minutes.select("__pq_minute", before(Window.partitionBy(F.to_date("__pq_minute")).orderBy("__pq_minute")).alias("__pq_earlier"))
+    inside = before(Window.partitionBy("__pq_minute").orderBy(time, tie))
+    spent = keyed.withColumn("__pq_inside", inside).join(minutes, "__pq_minute", "left")
+    spent = spent.withColumn("spent_before", F.round(F.coalesce("__pq_earlier", F.lit(0.0)) + F.col("__pq_inside"), 4)).drop("__pq_minute", "__pq_inside", "__pq_earlier")
+    return spent.withColumn("allowed", F.col("spent_before") + F.col(cost) <= limit)
 
 
 def spend_guard(calls: DataFrame, costs: DataFrame, daily_limit: float, threshold: float, warn_only: list[str] | None = None, always: bool = False) -> DataFrame:
@@ -166,10 +174,18 @@ def labelled_histogram(facts: DataFrame, labels: list[str], column: str) -> Data
     return known.join(counted, "label", "left").select("label", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def within_budget(rows: DataFrame, order: str, text: str, tokens: int = 4000, chars_per_token: float = 3.5, part: list[str] | None = None) -> DataFrame:
-    """The longest prefix of rows (per part) whose text fits a context of so many tokens."""
-    w = Window.partitionBy(*(part or [F.lit(1)])).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("upto_chars", F.sum(F.length(text)).over(w)).where(F.col("upto_chars") <= tokens * chars_per_token)
+def within_budget(rows: DataFrame, order: str, text: str, tokens: int = 4000, chars_per_token: float = 3.5, part: list[str] | None = None, spread: int = 64) -> DataFrame:
+    """The longest prefix of rows (per part) whose text fits a context of so many tokens.
+
+    A part is first cut into ``spread`` shares by the hash of the order. A row that has more than the
+    budget before it in its share alone is out, and what stays of the share shows that for all later
+    rows; so only some budgets' worth of rows of each part meet in one task, however large the part.
+    """
+    most, by = tokens * chars_per_token, [F.col(p) for p in part or []]
+    share = Window.partitionBy(*by, F.pmod(F.xxhash64(order), F.lit(spread))).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    near = rows.withColumn("__pq_before", F.sum(F.length(text)).over(share)).where(F.coalesce("__pq_before", F.lit(0)) <= most).drop("__pq_before")
+    whole = Window.partitionBy(*(by or [F.lit(1)])).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return near.withColumn("upto_chars", F.sum(F.length(text)).over(whole)).where(F.col("upto_chars") <= most)
 
 
 def weighted_score(rows: DataFrame, weights: dict[str, float], least_factors: int = 1, name: str = "score") -> DataFrame:

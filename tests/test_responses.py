@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from pagequarry.operators import detection, drift
+from pagequarry.operators import detection, drift, metrics
 from pagequarry.sources import readers, responses, store
 
 
@@ -94,3 +94,22 @@ def test_image_files(spark, tmp_path):
         (tmp_path / name).write_bytes(b"12")
     got = sorted((r.path.rsplit("/", 1)[-1], r.length, r.extension) for r in readers.image_files(spark, str(tmp_path)).collect())
     assert got == [("a.JPG", 2, ".jpg"), ("b.webp", 2, ".webp")]
+
+
+def test_running_sums_over_split_keys(spark):
+    texts = [(k, "x" * (k * 37 % 91)) for k in range(400)]
+    upto, want = 0, []
+    for k, t in texts:
+        upto += len(t)
+        if upto > 350:
+            break
+        want.append((k, upto))
+    got = metrics.within_budget(spark.createDataFrame(texts, "k int, t string"), "k", "t", tokens=100, spread=5)
+    assert sorted((r.k, r.upto_chars) for r in got.collect()) == want
+    calls = [(k, f"2024-01-0{1 + k // 40} 10:0{k // 13 % 4}:{k % 13:02d}", 1.0 + k % 3) for k in range(80)] + [(99, None, 1.0)]
+    ledger = spark.createDataFrame(calls, "event_id int, t string, cost double").withColumn("timestamp", F.col("t").cast("timestamp"))
+    rows = {r.event_id: (r.spent_before, r.allowed) for r in metrics.budget_to_date(ledger, 30.0).collect()}
+    for k, t, cost in calls[:-1]:
+        before = sum(c for _, u, c in calls[:-1] if u[:10] == t[:10] and u < t)
+        assert rows[k] == (before, before + cost <= 30.0)
+    assert rows[99] == (0.0, True)
