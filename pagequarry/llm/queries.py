@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_main, line_dedup, media, mixing, near_dup, pii, quality_rules, secrets, warc
+from . import bpe, decontaminate, html_main, line_dedup, media, mixing, near_dup, periodic_runs, pii, quality_rules, secrets, spelling, warc
 from ._shared import table, written
 
 
@@ -262,5 +262,47 @@ def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace_pii(docs)
 
 
-QUERIES = {"op4_pii_surrogates": op4_pii_surrogates, "op1_html_main_text": op1_html_main_text, "op5_warc": op5_warc, "op6_media_sniffing": op6_media_sniffing, "op7_bpe": op7_bpe, "op9_secrets": op9_secrets, "op2_source_mixing": op2_source_mixing, "op3_near_dedup": op3_near_dedup, "op8_line_dedup": op8_line_dedup, "op10_quality_rules": op10_quality_rules}
-ORACLE_SQL = {"op2_source_mixing": OP2_SQL, "op5_warc": OP5_SQL, "op8_line_dedup": OP8_SQL, "op10_quality_rules": OP10_SQL}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word with its form, the end of its chain of forms, and counts."""
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of repeated words of every document."""
+    return periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), with_text=False)
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark's windows in every document."""
+    found = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark
+), spots AS (
+  SELECT item_id, ws, least(len(ws), 10) AS size, unnest(range(1, greatest(len(ws) - 8, 2))) AS i FROM b WHERE len(ws) > 0
+), win AS (
+  SELECT DISTINCT item_id, size, array_to_string(ws[i:i + size - 1], ' ') AS w FROM spots
+), starts AS (
+  SELECT doc_id, ws, size, unnest(range(1, greatest(len(ws) - size + 2, 1))) AS i FROM d CROSS JOIN (SELECT DISTINCT size FROM win)
+), got AS (
+  SELECT doc_id, i, size, w FROM (SELECT doc_id, i, size, array_to_string(ws[i:i + size - 1], ' ') AS w FROM starts) SEMI JOIN win USING (size, w)
+), places AS (
+  SELECT DISTINCT doc_id, i, size FROM got
+), hit AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM places) GROUP BY doc_id
+), named AS (
+  SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM got JOIN win USING (size, w) WHERE item_id IS NOT NULL) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(hit.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(named.n, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+QUERIES = {"op11_spelling_variants": op11_spelling_variants, "op12_periodic_runs": op12_periodic_runs, "op13_decontamination": op13_decontamination, "op4_pii_surrogates": op4_pii_surrogates, "op1_html_main_text": op1_html_main_text, "op5_warc": op5_warc, "op6_media_sniffing": op6_media_sniffing, "op7_bpe": op7_bpe, "op9_secrets": op9_secrets, "op2_source_mixing": op2_source_mixing, "op3_near_dedup": op3_near_dedup, "op8_line_dedup": op8_line_dedup, "op10_quality_rules": op10_quality_rules}
+ORACLE_SQL = {"op13_decontamination": OP13_SQL, "op2_source_mixing": OP2_SQL, "op5_warc": OP5_SQL, "op8_line_dedup": OP8_SQL, "op10_quality_rules": OP10_SQL}
