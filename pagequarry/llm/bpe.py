@@ -51,6 +51,8 @@ from pyspark.sql import functions as F
 
 #: A worker forgets its known words beyond so many, which only costs time.
 MOST_KNOWN = 150_000
+#: Bytes of ids that a worker holds before it hands them on.
+MOST_HELD = 4 << 20
 #: Characters below this one are split with spelled-out classes.
 NEAR = 0x250
 
@@ -292,11 +294,15 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = True) -> DataF
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = _unpacked(shared.value)
         for pdf in batches:
-            out = []
+            out, held = [], 0
             for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
                 ids = t.encode(text or "")
                 numbers = [np.frombuffer(ids, "<i4")] * with_ids
                 out.append((doc_id, len(ids) // 4, *numbers, hashlib.sha256(ids).hexdigest(), hashlib.sha256(t.decode_bytes(ids)).hexdigest()))
+                held += len(ids)
+                if held > MOST_HELD:
+                    yield pd.DataFrame(out, columns=names)
+                    out, held = [], 0
             yield pd.DataFrame(out, columns=names)
 
     # Ids of documents travel as strings: beside a null, pandas would make floats of them.
