@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pagequarry.functions.stored import written
+
 from .components import components
 
 # Shared results from which two keywords belong to one post, one cluster, or link to each other.
 SAME_POST, SAME_CLUSTER, INTERLINK = 7, 4, 2
 KM_PER_DEGREE = 111.32
+EARTH_KM = 6371.0088
 #: Keywords of one url that are paired in one group of the join, on average.
 PAIR_BLOCK = 200
 
@@ -25,20 +30,42 @@ def _pairs(rows: DataFrame, keys: list[str]) -> DataFrame:
     return met.select(F.least("x", "y").alias("k1"), F.greatest("x", "y").alias("k2"), *keys)
 
 
-def result_overlap(results: DataFrame, group: str | None = None, ubiquitous: int | None = None) -> DataFrame:
-    """(k1, k2, shared, band) of keyword pairs with a result in common; results: keyword, url, and maybe a group that limits the pairs.
+#: Most values that a summary of frequent items lists, and its error as a share of rows * 1 / slots.
+MOST_LISTED, SKETCH_ERROR = 10_000, 7
+
+
+def heavy_hitters(rows: DataFrame, key: str, more_than: int, slots: int = 100_000) -> DataFrame:
+    """(key, n) of the values that occur more than so many times, exactly.
+
+    Each task keeps a summary of at most ``slots`` values (a mergeable sketch of frequent items); a value beyond twice the
+    sketch's error is in it, so only its candidates are counted exactly. Where the rows are too many for the
+    sketch to be sure of, or its list is full, all values are counted instead: the result is the same.
+    """
+    rows = rows.where(F.col(key).isNotNull())
+    if rows.count() * SKETCH_ERROR <= slots * more_than:
+        top = rows.agg(F.expr(f"approx_top_k(`{key}`, {MOST_LISTED}, {slots})").alias("top")).select(F.explode("top").alias("t"))
+        few = written(top.select(F.col("t.item").alias(key)), "heavy-candidates")
+        if few.count() < MOST_LISTED:
+            rows = rows.join(F.broadcast(few), key, "left_semi")
+    return rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > more_than)
+
+
+def result_overlap(results: DataFrame, group: str | None = None, ubiquitous: int | None = None, least: int = 1, domain: Column | None = None) -> DataFrame:
+    """(k1, k2, shared, band) of keyword pairs with at least so many results in common; results: keyword, url, and maybe a group (an intent) that limits the pairs.
 
-    Results on more than ``ubiquitous`` keywords can be left out of the pairing: they
+    Results whose url (or ``domain``, an expression over url) is on more than ``ubiquitous`` keywords are left out of the pairing: they
     say nothing of any two of them. The keywords of a url are dealt to blocks, and
     each pair of blocks is a group of the join, so a frequent url spreads over tasks.
     """
     keys = ["url", *([group] if group else [])]
     rows = results.select("keyword", *keys).distinct()
     if ubiquitous:
-        rows = rows.join(rows.groupBy("url").agg(F.count("*").alias("n")).where(F.col("n") <= ubiquitous).select("url"), "url", "left_semi")
+        named = rows.withColumn("__of", domain if domain is not None else F.col("url"))
+        heavy = written(heavy_hitters(named.select("keyword", "__of").distinct(), "__of", ubiquitous).select("__of"), "heavy")
+        rows = named.join(heavy, "__of", "left_anti").drop("__of")
     pairs = _pairs(rows, keys)
     # Without a group no pair meets twice at a url, so plain counts, summed before the shuffle, are distinct.
-    pairs = pairs.groupBy("k1", "k2").agg((F.count_distinct("url") if group else F.count("*")).alias("shared"))
+    pairs = pairs.groupBy("k1", "k2").agg((F.count_distinct("url") if group else F.count("*")).alias("shared")).where(F.col("shared") >= least)
     return pairs.withColumn("band", band(F.col("shared")))
 
 
@@ -106,23 +133,23 @@ def grid_metrics(ranks: DataFrame, by: list[str], size: int) -> DataFrame:
 def distance_km(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
     """Great-circle distance."""
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lng2 - lng1) / 2), 2)
-    return 2 * 6371.0088 * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
+    return 2 * EARTH_KM * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
 
 
 def within_radius(centres: DataFrame, places: DataFrame, radius_km: float) -> DataFrame:
-    """(centre, place, km, rank): places within a radius of each centre, nearest first.
+    """(centre, place, km, rank): places within a radius of each centre, nearest first; centres: centre, lat, lng; places: place, lat, lng.
 
-    Places go to cells as wide as the radius and centres to their own and the
-    neighbouring cells, so the join is on cells. Near the poles and the date line
-    cells are not neighbours as degrees are; the operator is for ordinary latitudes.
+    Points are taken as points of the unit sphere in space, and space is cut into cubes as wide as
+    the radius's chord: two points within the radius are in one cube or in neighbouring ones, at the date line
+    and the poles as anywhere else. Places go to their cube, centres to theirs and the 26 around it, so the join is on cubes.
     """
-    cell = radius_km / KM_PER_DEGREE
-    lat_cell = lambda c: F.floor(F.col(c) / cell)
-    # Degrees of longitude shrink with latitude: cells of a band use the width at the band's far edge.
-    width = lambda band: cell / F.cos(F.radians(F.least(F.lit(89.0), (F.abs(band) + 2) * cell)))
-    here = places.withColumn("x", lat_cell("lat")).withColumn("y", F.floor(F.col("lng") / width(F.col("x")))).select("x", "y", "place", F.col("lat").alias("plat"), F.col("lng").alias("plng"))
-    around = centres.withColumn("x", F.explode(F.sequence(lat_cell("lat") - 1, lat_cell("lat") + 1)))
-    around = around.withColumn("y", F.explode(F.sequence(F.floor((F.col("lng")) / width(F.col("x"))) - 1, F.floor(F.col("lng") / width(F.col("x"))) + 1)))
+    chord = max(2 * math.sin(min(radius_km / EARTH_KM, math.pi) / 2), 1e-9) * (1 + 1e-9)
+    lat, lng = F.radians("lat"), F.radians("lng")
+    cube = [F.floor(c / chord).cast("long") for c in (F.cos(lat) * F.cos(lng), F.cos(lat) * F.sin(lng), F.sin(lat))]
+    here = places.select(*[c.alias(n) for c, n in zip(cube, "xyz", strict=True)], "place", F.col("lat").alias("plat"), F.col("lng").alias("plng"))
+    around = centres.select("centre", "lat", "lng", *[c.alias(n) for c, n in zip(cube, "xyz", strict=True)])
+    for n in "xyz":
+        around = around.withColumn(n, F.explode(F.sequence(F.col(n) - 1, F.col(n) + 1)))
     km = distance_km(F.col("lat"), F.col("lng"), F.col("plat"), F.col("plng"))
-    near = around.join(here, ["x", "y"]).select("centre", "place", F.round(km, 6).alias("km")).where(F.col("km") <= radius_km)
+    near = around.join(here, ["x", "y", "z"]).select("centre", "place", F.round(km, 6).alias("km")).where(F.col("km") <= radius_km)
     return near.withColumn("rank", F.row_number().over(Window.partitionBy("centre").orderBy("km", "place")))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pagequarry.functions.stored import written
 from pagequarry.functions.urls import host_of, normalize_backlink_url, report_domain
 
 
@@ -48,6 +49,25 @@ def domain_sets(ours: DataFrame, theirs: DataFrame, column: str = "domain") -> D
     return a.join(b, column, "full").select(column, relation.alias("relation"))
 
 
+def common_keys(rows: DataFrame, part: str, key: str, most: int = 3) -> DataFrame:
+    """(parts, n_parts, shared): for every set of up to ``most`` parts (domains), how many keys (keyword numbers) all of them have.
+
+    A part's keys are bitmaps of 32,768 bits, one for each range of key numbers; a set's bitmaps are intersected
+    and counted range by range, so work goes by parts and ranges, not by pairs of rows. key is a whole number from 0; nulls
+    count for nothing; sets without a common key are not listed. Only the parts that a range has are combined.
+    """
+    numbered = rows.where(F.col(part).isNotNull() & (F.col(key) >= 0)).select(F.col(part).alias("part"), F.col(key).cast("long").alias("key"))
+    bits = numbered.groupBy(F.bitmap_bucket_number("key").alias("range"), "part").agg(F.bitmap_construct_agg(F.bitmap_bit_position("key")).alias("bits"))
+    bits = written(bits, "common-bits")
+    sets = met = bits.select("range", F.array("part").alias("parts"), "bits")
+    for _ in range(most - 1):
+        more = sets.join(bits.select("range", F.col("part").alias("next"), F.col("bits").alias("other")), "range").where(F.element_at("parts", -1) < F.col("next"))
+        pair = more.select("range", F.concat("parts", F.array("next")).alias("parts"), F.explode(F.array("bits", "other")).alias("bits"))
+        sets = written(pair.groupBy("range", "parts").agg(F.bitmap_and_agg("bits").alias("bits")).where(F.bitmap_count("bits") > 0), "common-sets")
+        met = met.unionByName(sets)
+    return met.groupBy("parts").agg(F.sum(F.bitmap_count("bits")).alias("shared")).select(F.array_join(F.col("parts").cast("array<string>"), ",").alias("parts"), F.size("parts").alias("n_parts"), "shared")
+
+
 def reciprocal_domains(outbound: DataFrame, inbound: DataFrame, url: str = "url") -> DataFrame:
     """Domains that are linked to and link back."""
     domain = report_domain(F.col(url)).alias("domain")
@@ -78,14 +98,53 @@ def orphans(nodes: DataFrame, edges: DataFrame, key: str = "url", least: int = 1
     return nodes.select(key).distinct().join(incoming, key, "left").select(key, F.coalesce("incoming", F.lit(0)).alias("incoming")).where(F.col("incoming") < least)
 
 
-def clicks_from(start: DataFrame, edges: DataFrame, most: int = 3) -> DataFrame:
-    """(node, clicks) of what is reached from start (node) by at most so many edges."""
-    edges = edges.select("src", "dst").distinct()
-    reached = start.select("node").distinct().withColumn("clicks", F.lit(0))
-    for k in range(1, most + 1):
-        step = reached.where(F.col("clicks") == k - 1).join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), F.lit(k).alias("clicks"))
-        reached = reached.union(step).groupBy("node").agg(F.min("clicks").alias("clicks"))
-    return reached
+def _contracted(edges: DataFrame, start: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges (src, dst, length) between nodes that are no inner links of a chain, and (node, head, length) of those that are.
+
+    An inner link has one edge in and one edge out and is no start. Its chain's head comes from pointer
+    doubling, in as many rounds as a chain's length has binary digits; rings of inner links alone have no head, and nothing leads into them.
+    """
+    inner = edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n")).where("n = 1").select("node")
+    inner = inner.join(edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n")).where("n = 1").select("node"), "node")
+    inner = written(inner.join(start, "node", "left_anti"), "depth-inner")
+    back = edges.join(inner, F.col("dst") == F.col("node"), "left_semi").select(F.col("dst").alias("node"), F.col("src").alias("head"), F.lit(1).cast("long").alias("length"))
+    known = back.join(inner.toDF("head"), "head", "left_semi").withColumn("open", F.lit(True)).unionByName(back.join(inner.toDF("head"), "head", "left_anti").withColumn("open", F.lit(False)))
+    known = written(known.select("node", "head", "length", "open"), "depth-chains")
+    rounds = max(known.count(), 1).bit_length()
+    for _ in range(rounds):
+        if known.where("open").isEmpty():
+            break
+        hop = known.select(F.col("node").alias("head"), F.col("head").alias("h2"), F.col("length").alias("l2"), F.col("open").alias("o2"))
+        moved = known.where("open").join(hop, "head").select("node", F.col("h2").alias("head"), (F.col("length") + F.col("l2")).alias("length"), F.col("o2").alias("open"))
+        known = written(known.where("not open").unionByName(moved), "depth-chains")
+    chains = known.where("not open").drop("open")
+    own = edges.join(inner, F.col("src") == F.col("node"), "left_anti").join(inner, F.col("dst") == F.col("node"), "left_anti").select("src", "dst", F.lit(1).cast("long").alias("length"))
+    tails = edges.join(inner, F.col("dst") == F.col("node"), "left_anti").join(chains, F.col("src") == F.col("node")).select(F.col("head").alias("src"), "dst", (F.col("length") + 1).alias("length"))
+    return written(own.union(tails).groupBy("src", "dst").agg(F.min("length").alias("length")), "depth-edges"), chains
+
+
+def clicks_from(start: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
+    """(node, clicks) of what is reached from start (node) along edges (src, dst), by at most so many where ``most`` is given.
+
+    A frontier search: each round follows the edges of the nodes that the round before found or found nearer, and
+    leaves out what is already known as near, until nothing is new. Chains are contracted before, so
+    rounds go by the branchings of a path and not by its length. Each round is written; rings and nodes that are
+    their own neighbours are no matter.
+    """
+    start = written(start.select("node").where("node is not null").distinct(), "depth-start")
+    edges = written(edges.select("src", "dst").where("src <> dst").distinct(), "depth-links")
+    hops, chains = _contracted(edges, start)
+    known = frontier = written(start.withColumn("clicks", F.lit(0).cast("long")), "depth-known")
+    limit = F.lit(True) if most is None else F.col("clicks") <= most
+    while True:
+        step = frontier.join(hops, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), (F.col("clicks") + F.col("length")).alias("clicks")).where(limit)
+        step = step.groupBy("node").agg(F.min("clicks").alias("clicks"))
+        frontier = written(step.join(known.select("node", F.col("clicks").alias("before")), "node", "left").where("before is null or clicks < before").drop("before"), "depth-frontier")
+        if frontier.isEmpty():
+            break
+        known = written(known.union(frontier).groupBy("node").agg(F.min("clicks").alias("clicks")), "depth-known")
+    inside = chains.join(known.select(F.col("node").alias("head"), "clicks"), "head").select("node", (F.col("clicks") + F.col("length")).alias("clicks"))
+    return known.union(inside.where(limit)).select("node", F.col("clicks").cast("int").alias("clicks"))
 
 
 def disavow_lines(domains: DataFrame, column: str = "domain") -> DataFrame:

@@ -2,19 +2,33 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .quantiles import exact_percentiles
+
+
+def _beside(rows: DataFrame, groups: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """rows with the columns of their group in groups (by, ...); nulls in ``by`` are equal."""
+    if not by:
+        return rows.crossJoin(F.broadcast(groups))  # one row
+    groups = groups.select(*[F.col(c).alias(f"__{c}" if c in by else c) for c in groups.columns])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by])
+    return rows.join(groups, same, how).drop(*[f"__{c}" for c in by])
+
 
 def price_statistics(facts: DataFrame, by: list[str], value: str) -> DataFrame:
     """count, min, max, mean, quartiles (linear interpolation) and population deviation of a value, to two decimals."""
-    quartiles = F.percentile(value, F.lit([0.25, 0.5, 0.75]))
+    quartiles = exact_percentiles(facts, by, value, [0.25, 0.5, 0.75])
     r = lambda c: F.round(F.round(c, 6), 2)  # noqa: E731  interpolation leaves a last digit of noise at halves
     out = facts.groupBy(*by).agg(
         F.count(value).alias("count"), r(F.min(value)).alias("min"), r(F.max(value)).alias("max"), r(F.avg(value)).alias("mean"),
-        quartiles.alias("q"), r(F.stddev_pop(value)).alias("std_dev"),
+        r(F.stddev_pop(value)).alias("std_dev"),
     )
+    out = _beside(out, quartiles, by, "left")
     return out.withColumns({"p25": r(F.get("q", F.lit(0))), "median": r(F.get("q", F.lit(1))), "p75": r(F.get("q", F.lit(2)))}).drop("q")
 
 
@@ -160,8 +174,9 @@ def domain_risk(age_years: Column, topic_shift: Column) -> Column:
 
 def price_outliers(items: DataFrame, by: list[str], key: str, price: str, widths: float = 2.0) -> DataFrame:
     """Items further than ``widths`` population deviations from their group's median."""
-    stats = items.groupBy(*by).agg(F.percentile(price, F.lit(0.5)).alias("median"), F.stddev_pop(price).alias("deviation"))
-    joined = items.join(stats, by)
+    stats = items.groupBy(*by).agg(F.stddev_pop(price).alias("deviation"))
+    stats = _beside(stats, exact_percentiles(items, by, price, [0.5]).withColumn("median", F.get("q", F.lit(0))).drop("q"), by)
+    joined = _beside(items, stats, by)
     far = F.abs(F.col(price) - F.col("median")) > widths * F.col("deviation")
     return joined.where(far).select(*by, key, F.col(price), F.round("median", 2).alias("median"))
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import audits, content, metrics, records, responses, sites
+from . import audits, content, metrics, records, responses, sites, structures
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _module in (content, metrics, sites, audits, records, responses):
+for _module in (content, metrics, sites, audits, records, responses, structures):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL

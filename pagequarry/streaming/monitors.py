@@ -6,13 +6,17 @@ query and names sink, trigger and checkpoint.
 
 from __future__ import annotations
 
+import calendar
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from pagequarry.operators.paged import DAILY_QUOTA
+
 
 def activity_sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour", time: str = "ts", user: str = "user_id") -> DataFrame:
     """(user, start, end, events) of sessions that end after a gap; events later than the watermark are dropped."""
@@ -43,17 +47,22 @@ CHANGES = "url_hash string, version long, changed string, old_value string, new_
 STATE = "version long, title string, html_hash string, ignored long"
 
 
-def drift_monitor(snapshots: DataFrame) -> DataFrame:
+def drift_monitor(snapshots: DataFrame, time: str | None = None, forget_after_ms: int = 90 * 86_400_000, late: str = "1 day") -> DataFrame:
     """Changes of pages as their snapshots arrive; snapshots: url_hash, version, title, html_hash.
 
     The state is a page's last snapshot. A snapshot that is older than it is counted
-    and ignored; a page's first one makes no row.
+    and ignored; a page's first one makes no row. With a ``time`` column a page without a snapshot for ``forget_after_ms`` of
+    that time is forgotten, so that the state holds the pages in use only; its next snapshot counts as a first one.
     """
 
     def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get if state.exists else None
         out = []
-        for row in pd.concat(list(batches)).sort_values("version").itertuples(index=False):
+        rows = pd.concat(list(batches))
+        for row in rows.sort_values("version").itertuples(index=False):
             if last is not None and row.version <= last[0]:
                 last = (*last[:3], last[3] + 1)
                 continue
@@ -62,6 +71,57 @@ def drift_monitor(snapshots: DataFrame) -> DataFrame:
                     out.append((key[0], int(row.version), name, old, new, last[3]))
             last = (int(row.version), row.title, row.html_hash, last[3] if last is not None else 0)
         state.update(last)
+        if time is not None:
+            newest = int(rows[time].max().timestamp() * 1000)
+            state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + forget_after_ms)
         yield pd.DataFrame(out, columns=[c.split()[0] for c in CHANGES.split(", ")])
 
-    return snapshots.groupBy("url_hash").applyInPandasWithState(follow, CHANGES, STATE, "append", GroupStateTimeout.NoTimeout)
+    rows = snapshots if time is None else snapshots.withWatermark(time, late)
+    timeout = GroupStateTimeout.NoTimeout if time is None else GroupStateTimeout.EventTimeTimeout
+    return rows.groupBy("url_hash").applyInPandasWithState(follow, CHANGES, STATE, "append", timeout)
+
+
+VERDICTS = "site string, day date, position long, url string, verdict string"
+
+
+class _Quota(StatefulProcessor):
+    """A day of a site: requests sent so far, and whether an answer of 429 ended the day."""
+
+    def __init__(self, quota: int):
+        self.quota = quota
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("day", "sent long, stopped boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        fresh = not self.state.exists()
+        sent, stopped = (0, False) if fresh else self.state.get()
+        out = []
+        for row in pd.concat(list(rows)).sort_values(["position", "url"]).itertuples(index=False):
+            verdict = "stopped" if stopped else "over-quota" if sent >= self.quota else "sent"
+            if verdict == "sent":
+                sent += 1
+                stopped = "429" in (row.error or "")
+            out.append((key[0], key[1], int(row.position), row.url, verdict))
+        self.state.update((sent, stopped))
+        if fresh:
+            # The day's state goes when the watermark has passed the day's end.
+            self.handle.registerTimer((calendar.timegm(key[1].timetuple()) + 86_400) * 1000)
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in VERDICTS.split(", ")])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def quota_gate(requests: DataFrame, quota: int = DAILY_QUOTA, late: str = "1 hour", time: str = "ts") -> DataFrame:
+    """A verdict on each request of a stream: sent, over-quota, or stopped after an answer of 429 on that day; requests: site, ts, position, url, error.
+
+    State is two numbers a site and day, with a timer that clears it once the watermark has passed the day. Needs the RocksDB state store.
+    """
+    rows = requests.withWatermark(time, late).withColumn("day", F.to_date(time)).groupBy("site", "day")
+    return rows.transformWithStateInPandas(statefulProcessor=_Quota(quota), outputStructType=VERDICTS, outputMode="Append", timeMode="EventTime")
