@@ -15,7 +15,7 @@ WORD_RE = r"[^\x20\x09-\x0D]+"
 
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """Hint a broadcast if df (a written table) has at most max_rows rows, else leave it to a shuffle join."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    return F.broadcast(df) if df.count() <= max_rows else df
 
 
 def text_or_empty(name: str = "text") -> Column:
