@@ -272,7 +272,9 @@ def toxic_links(links: DataFrame) -> DataFrame:
     """
     anchors = links.where("anchor <> ''").groupBy("anchor", "domain").agg(F.lit(1).alias("one")).groupBy("anchor").agg(F.count("*").alias("anchor_domains")).where("anchor_domains >= 5")
     quiet = links.groupBy("domain").agg(F.min(F.coalesce("nofollow", F.lit(False))).alias("only_nofollow"))
-    joined = links.join(anchors, "anchor", "left").join(quiet, "domain", "left")
+    # Links without an anchor match none; they are spread by domain instead of meeting under one key.
+    key = F.when(F.col("anchor") != "", F.col("anchor")).otherwise(F.concat(F.lit("\0"), F.coalesce("domain", F.lit(""))))
+    joined = links.withColumn("__pq_anchor", key).join(anchors.withColumnRenamed("anchor", "__pq_anchor"), "__pq_anchor", "left").drop("__pq_anchor").join(quiet, "domain", "left")
     out, young = F.coalesce("outbound_links", F.lit(0)), F.coalesce(F.col("age_days") < 30, F.lit(False))
     tests = {
         "link-farm": ("spam", out >= 10_000), "new-and-busy": ("spam", young & (out >= 100)), "exact-anchor": ("spam", F.col("anchor_domains").isNotNull()),
@@ -291,7 +293,7 @@ def fake_review_flags(reviews: DataFrame, spike: float = 3.0) -> DataFrame:
     daily mean and more than one; same_text: an equal text elsewhere in the table.
     """
     day, hour = F.to_date("ts"), F.date_trunc("hour", "ts")
-    keyed = reviews.withColumns({"__pq_day": day, "__pq_hour": hour, "__pq_text": F.xxhash64(F.lower(F.trim("text")))})
+    keyed = reviews.withColumns({"__pq_day": day, "__pq_hour": hour, "__pq_text": F.when(F.col("text").isNotNull(), F.xxhash64(F.lower(F.trim("text")))).otherwise(F.xxhash64("business", "ts"))})
     hours = keyed.groupBy("business", "__pq_hour").agg(F.count("*").alias("__pq_in_hour"))
     days = keyed.groupBy("business", "__pq_day").agg(F.count("*").alias("__pq_in_day"), F.count_if(F.col("rating") == 5).alias("__pq_fives"))
     means = days.groupBy("business").agg(F.avg("__pq_in_day").alias("__pq_mean"), F.avg("__pq_fives").alias("__pq_five_mean"))

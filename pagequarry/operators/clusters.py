@@ -102,6 +102,40 @@ def cluster_scorecard(posts: DataFrame, links: DataFrame) -> DataFrame:
     return out.fillna(0)
 
 
+def plan_scorecard(posts: DataFrame, links: DataFrame, recommended: DataFrame) -> DataFrame:
+    """Per cluster of planned posts: how far the plan is written and how it is linked.
+
+    posts: url, cluster, is_pillar, written, primary_keyword, words, images; links, recommended (links between clusters): src, dst. Links count once, between
+    different written posts. coverage_pct, gaps: planned and written posts. link_density: links into the cluster's posts, a post. orphans: posts
+    without a link to them. to_pillar_pct, from_pillar_pct: other posts that link to a pillar of the cluster, and that one links to. cross_pct: of the recommended links from the cluster those
+    that exist. cannibalized: posts that share a primary keyword with another post of the table. image_pct, avg_words: of written posts.
+    """
+    done = posts.where("written")
+    p = done.select("url", "cluster", "is_pillar")
+    between = links.select("src", "dst").where("src <> dst").distinct().join(p.toDF("src", "c1", "p1"), "src").join(p.toDF("dst", "c2", "p2"), "dst")
+    into = between.groupBy(F.col("c2").alias("cluster")).agg(F.count("*").alias("links"))
+    linked = between.select(F.col("dst").alias("url")).distinct().withColumn("linked", F.lit(True))
+    alone = p.join(linked, "url", "left").groupBy("cluster").agg(F.count_if(F.col("linked").isNull()).alias("orphans"))
+    same = between.where("c1 = c2").groupBy(F.col("c1").alias("cluster")).agg(F.count_distinct(F.when(~F.col("p1") & F.col("p2"), F.col("src"))).alias("up"), F.count_distinct(F.when(F.col("p1") & ~F.col("p2"), F.col("dst"))).alias("down"))
+    asked = recommended.select("src", "dst").where("src <> dst").distinct().join(posts.select(F.col("url").alias("src"), F.col("cluster")), "src")
+    made = asked.join(between.select("src", "dst").withColumn("made", F.lit(True)), ["src", "dst"], "left").groupBy("cluster").agg(F.count("*").alias("asked"), F.count("made").alias("made"))
+    word = F.lower(F.trim("primary_keyword"))
+    shared = done.where(word != "").groupBy(word.alias("k")).agg(F.count("*").alias("n")).where("n > 1")
+    doubled = done.withColumn("k", word).join(shared.select("k"), "k", "left_semi").groupBy("cluster").agg(F.count("*").alias("cannibalized"))
+    out = posts.groupBy("cluster").agg(
+        F.count("*").alias("planned"), F.count_if("written").alias("posts"), F.count_if(F.col("written") & ~F.col("is_pillar")).alias("spokes"),
+        F.count_if(F.col("written") & (F.col("images") > 0)).alias("with_images"), F.round(F.avg(F.when(F.col("written"), F.col("words"))), 1).alias("avg_words"),
+    )
+    for part in (into, alone, same, made, doubled):
+        out = out.join(part, "cluster", "left")
+    out = out.fillna(0, ["links", "orphans", "up", "down", "asked", "made", "cannibalized"])
+    pct = lambda a, b: F.when(F.col(b) > 0, F.round(F.col(a) * 100.0 / F.col(b), 1))
+    return out.select(
+        "cluster", pct("posts", "planned").alias("coverage_pct"), (F.col("planned") - F.col("posts")).alias("gaps"), F.when(F.col("posts") > 0, F.round(F.col("links") / F.col("posts"), 2)).alias("link_density"), "orphans",
+        pct("up", "spokes").alias("to_pillar_pct"), pct("down", "spokes").alias("from_pillar_pct"), pct("made", "asked").alias("cross_pct"), "cannibalized", pct("with_images", "posts").alias("image_pct"), "avg_words",
+    )
+
+
 def grid_points(spark, lat: float, lng: float, size: int, step_km: float) -> DataFrame:
     """(i, j, lat, lng) of a size by size grid around a centre."""
     axis = spark.range(size).select(F.col("id").cast("int").alias("i"))

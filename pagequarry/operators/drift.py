@@ -117,7 +117,10 @@ def compare(current: DataFrame, snapshots: DataFrame) -> DataFrame:
     """(url_hash, baseline_id, rule, severity, triggered, old_value, new_value): seventeen rows per page that has a baseline."""
     old, new = latest(snapshots), current
     pairs = new.select("url_hash", F.struct(*new.columns).alias("new")).join(old.select("url_hash", F.struct(*old.columns).alias("old")), "url_hash")
-    pairs = pairs.withColumns({"h1_similarity": similarity("old.h1", "new.h1"), "old_types": top_types("old.schema"), "old_json": canonical_json("old.schema"), "new_json": canonical_json("new.schema")})
+    # Only headings that differ are compared, and only types that are gone are read: the others go to the functions as nulls.
+    differ = F.col("old.h1") != F.col("new.h1")
+    gone = F.when(_count(F.col("new.schema")) == 0, F.col("old.schema"))
+    pairs = pairs.withColumns({"h1_similarity": similarity(F.when(differ, F.col("old.h1")), F.when(differ, F.col("new.h1"))), "old_types": top_types(gone), "old_json": canonical_json("old.schema"), "new_json": canonical_json("new.schema")})
     made = F.array(*[F.struct(F.lit(name).alias("rule"), severity.alias("severity"), F.coalesce(hit, F.lit(False)).alias("triggered"), a.alias("old_value"), b.alias("new_value")) for name, severity, hit, a, b in rules()])
     return pairs.select("url_hash", F.col("old.id").alias("baseline_id"), F.explode(made).alias("f")).select("url_hash", "baseline_id", "f.*")
 

@@ -37,6 +37,8 @@ LAZY = (
 # Bounds on structured data.
 MOST_BLOCKS, MOST_BLOCK_BYTES, MOST_BYTES, MOST_NODES, MOST_DEPTH, MOST_TYPES = 50, 256 * 1024, 1024 * 1024, 10_000, 40, 100
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+#: Elements whose text is read.
+_WITH_TEXT = {"title", "h1", "h2", "h3", "a", "script"}
 _UNCOUNTED = frozenset(("script", "style", "nav", "footer", "header"))
 
 
@@ -66,7 +68,8 @@ class _Page(HTMLParser):
         for k in ("h1", "h2", "h3", "images", "links_internal", "links_external", "schema", "hreflang"):
             self.out[k] = []
         self.out |= {"open_graph": {}, "twitter_card": {}}
-        self.open: list[tuple[str, list[str], dict]] = []
+        self.open: list[tuple[str, int, dict]] = []
+        self.texts: list[str] = []  # an open element's text is what came since it began
         self.words: list[str] = []
         self.hidden = 0
 
@@ -92,7 +95,7 @@ class _Page(HTMLParser):
             src = urljoin(self.url, src) if self.url and src else src
             self.out["images"].append({"src": src, **{k: a.get(k) for k in ("alt", "width", "height", "loading")}, "lazy_method": lazy_method(a)})
         if tag not in _VOID:
-            self.open.append((tag, [], a))
+            self.open.append((tag, len(self.texts), a))
             self.hidden += tag in _UNCOUNTED
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -101,8 +104,7 @@ class _Page(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_data(self, data: str) -> None:
-        for _, text, _ in self.open:
-            text.append(data)
+        self.texts.append(data)
         if not self.hidden:
             self.words.append(data)
 
@@ -117,9 +119,11 @@ class _Page(HTMLParser):
         while self.open:
             self._end(*self.open.pop())
 
-    def _end(self, tag: str, parts: list[str], a: dict) -> None:
+    def _end(self, tag: str, start: int, a: dict) -> None:
         self.hidden -= tag in _UNCOUNTED
-        text = "".join(parts).strip()
+        if tag not in _WITH_TEXT:
+            return
+        text = "".join(self.texts[start:]).strip()
         if tag == "title" and self.out["title"] is None:
             self.out["title"] = text
         elif tag in ("h1", "h2", "h3") and text:

@@ -92,6 +92,24 @@ def crowded(rows: DataFrame, by: list[str], part: str, limit_pct: float) -> Data
     return shares(rows, by, part).where(F.col("share_pct") > limit_pct)
 
 
+# A domain's share of a profile's links, in percent, above which it is worth watching, a risk, or critical.
+CONCENTRATION = ((25.0, "critical"), (10.0, "risk"), (5.0, "watch"))
+
+
+def concentration(links: DataFrame, by: str, domain: str = "domain", nofollow: str = "nofollow") -> DataFrame:
+    """(by, links, domains, top_domain, top_pct, tier, follow_pct) of each profile: its largest domain's share and the share of links that are followed.
+
+    Links are summed by profile and domain before profiles are compared; of equal domains the first by name counts. Null domains are one domain.
+    """
+    counted = links.groupBy(by, domain).agg(F.count("*").alias("n"), F.count_if(~F.coalesce(F.col(nofollow), F.lit(False))).alias("followed"))
+    out = counted.groupBy(by).agg(F.sum("n").alias("links"), F.count("*").alias("domains"), F.min(F.struct((-F.col("n")).alias("order"), F.col(domain).alias("name"))).alias("top"), F.sum("followed").alias("followed"))
+    out = out.withColumn("top_pct", F.round(-F.col("top.order") * 100.0 / F.col("links"), 2))
+    tier = F.lit(None).cast("string")
+    for least, name in reversed(CONCENTRATION):
+        tier = F.when(F.col("top_pct") > least, F.lit(name)).otherwise(tier)
+    return out.select(by, "links", "domains", F.col("top.name").alias("top_domain"), "top_pct", tier.alias("tier"), F.round(F.col("followed") * 100.0 / F.col("links"), 1).alias("follow_pct"))
+
+
 def orphans(nodes: DataFrame, edges: DataFrame, key: str = "url", least: int = 1) -> DataFrame:
     """Nodes with fewer than ``least`` incoming edges (src, dst) from other nodes."""
     incoming = edges.where("src <> dst").groupBy(F.col("dst").alias(key)).agg(F.count_distinct("src").alias("incoming"))

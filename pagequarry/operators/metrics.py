@@ -127,6 +127,17 @@ def traffic_totals(days: DataFrame) -> DataFrame:
     return days.agg(F.sum("sessions").alias("sessions"), F.sum("users").alias("users"), F.sum("pageviews").alias("pageviews"), F.round(F.sum("sessions") / F.count("*"), 1).alias("avg_daily_sessions"))
 
 
+def traffic_by(facts: DataFrame, by: list[str], channel: str = "Organic Search", most: int | None = None) -> DataFrame:
+    """Sessions, users, and bounce and engagement rates of one channel, by landing page, device, country or day; with ``most`` the first by sessions.
+
+    facts: channel, sessions, users, bounced, engaged (sessions), and the columns of ``by``. Rates are over sessions, in percent to one decimal, null without sessions.
+    """
+    rows = facts.where(F.col("channel") == channel).groupBy(*by).agg(F.sum("sessions").alias("sessions"), F.sum("users").alias("users"), F.sum("bounced").alias("b"), F.sum("engaged").alias("e"))
+    rate = lambda c: F.when(F.col("sessions") > 0, F.round(F.col(c) * 100.0 / F.col("sessions"), 1))
+    out = rows.select(*by, "sessions", "users", rate("b").alias("bounce_rate"), rate("e").alias("engagement_rate"))
+    return out.orderBy(F.desc("sessions"), *by).limit(most) if most is not None else out
+
+
 def position_buckets(rows: DataFrame, position: str = "position") -> DataFrame:
     p = F.col(position)
     return rows.agg(F.count_if(p <= 3).alias("top3"), F.count_if(p <= 10).alias("top10"), F.count_if(p > 10).alias("beyond"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pagequarry.functions.schemas import struct
-from pagequarry.functions.urls import host_of
+from pagequarry.functions.urls import host_of, is_fetchable_url
 
 # Acceptable word-count ratios against the English page, by language.
 RATIOS = {"de": (1.10, 1.50), "fr": (1.00, 1.40), "es": (1.00, 1.40), "ja": (0.60, 1.00), "zh": (0.55, 0.95)}
@@ -110,6 +110,64 @@ def report_issues(results: DataFrame, declared: DataFrame, score: DataFrame) ->
     return a.union(b).union(c)
 
 
+def schema_claims(blocks: DataFrame) -> DataFrame:
+    """(report, severity, field, detail) of a report's structured-data blocks (report, pos, block, JSON texts).
+
+    not-an-object, unflattened-graph (valid, but to be flattened), missing-type, and howto, whose rich result is gone; a list of types is fine.
+    """
+    keys = F.json_object_keys("block")
+    kind = F.get_json_object("block", "$['@type']")
+    has = lambda k: F.array_contains(keys, k)
+    found = (
+        F.when(keys.isNull(), F.struct(F.lit("warning").alias("severity"), F.lit("not-an-object").alias("detail")))
+        .when(~has("@type") & has("@graph"), F.struct(F.lit("error").alias("severity"), F.lit("unflattened-graph").alias("detail")))
+        .when(~has("@type"), F.struct(F.lit("warning").alias("severity"), F.lit("missing-type").alias("detail")))
+        .when(kind == "HowTo", F.struct(F.lit("error").alias("severity"), F.lit("howto").alias("detail")))
+    )
+    return blocks.select("report", F.concat(F.lit("schema["), F.col("pos").cast("string"), F.lit("]")).alias("field"), found.alias("f")).where("f is not null").select("report", "f.severity", "field", "f.detail")
+
+
+def heading_claims(headings: DataFrame) -> DataFrame:
+    """The reports all of whose first-level headings (report, text, suspicious) are suspicious: the page may have no real one."""
+    all_ = headings.groupBy("report").agg(F.min(F.coalesce("suspicious", F.lit(False))).alias("all")).where("all")
+    return all_.select("report", F.lit("warning").alias("severity"), F.lit("h1").alias("field"), F.lit("all-suspicious").alias("detail"))
+
+
+def crawl_claims(domains: DataFrame) -> DataFrame:
+    """What a report (report, in_crawl, in_rankings) may say of a domain that has no rank: not crawled, or below the ranking threshold."""
+    said = F.when(~F.col("in_crawl") & ~F.col("in_rankings"), "not-crawled").when(F.col("in_crawl") & ~F.col("in_rankings"), "below-threshold")
+    return domains.select("report", F.lit("info").alias("severity"), F.lit("crawl").alias("field"), said.alias("detail")).where("detail is not null")
+
+
+def reciprocal_claims(outbound: DataFrame, results: DataFrame) -> DataFrame:
+    """The domains that a report's page links to (report, href) and that link back (results: report, source_url, status verified)."""
+    bare = lambda c: F.regexp_replace(host_of(F.col(c)), r"^www\.", "")
+    out = outbound.select("report", bare("href").alias("domain")).where("domain <> ''").distinct()
+    back = results.where("status = 'verified'").select("report", bare("source_url").alias("domain")).where("domain <> ''").distinct()
+    return out.join(back, ["report", "domain"]).select("report", F.lit("warning").alias("severity"), F.lit("reciprocal").alias("field"), F.col("domain").alias("detail"))
+
+
+# Urls of a batch and letters of a key.
+MOST_SUBMITTED, KEY_LENGTH = 10_000, (8, 128)
+
+
+def submission_problems(batches: DataFrame, urls: DataFrame) -> DataFrame:
+    """(batch, urls, problem) of batches (batch, host, key) of urls (batch, url) to be submitted; problem is the first that holds, or null.
+
+    empty, too-many, bad-key, foreign-url (on neither the host nor a subdomain of it), refused-url (an address that is not public or
+    no web address). A batch with very many urls is counted in parts.
+    """
+    named = lambda c: F.regexp_replace(F.lower(F.regexp_replace(host_of(F.when(F.contains(c, F.lit("://")), c).otherwise(F.concat(F.lit("x://"), c))), r"\.$", "")), r":\d*$", "")
+    declared = batches.select("batch", named(F.col("host")).alias("__host"))
+    rows = urls.join(declared, "batch").withColumn("__own", named(F.col("url")))
+    foreign = ~((F.col("__own") == F.col("__host")) | F.endswith("__own", F.concat(F.lit("."), F.col("__host"))))
+    counted = rows.groupBy("batch").agg(F.count("*").alias("urls"), F.count_if(F.coalesce(foreign, F.lit(True))).alias("foreign"), F.count_if(~F.coalesce(is_fetchable_url("url"), F.lit(False))).alias("refused"))
+    n = F.coalesce("urls", F.lit(0))
+    size = F.length(F.coalesce("key", F.lit("")))
+    problem = F.when(n == 0, "empty").when(n > MOST_SUBMITTED, "too-many").when(~size.between(*KEY_LENGTH), "bad-key").when(F.col("foreign") > 0, "foreign-url").when(F.col("refused") > 0, "refused-url")
+    return batches.join(counted, "batch", "left").select("batch", n.alias("urls"), problem.alias("problem"))
+
+
 def report_verdict(issues: DataFrame, reports: DataFrame) -> DataFrame:
     """(report, verdict): FAIL with an error, REVIEW with a warning, else PASS."""
     worst = issues.groupBy("report").agg(F.max(F.when(F.col("severity") == "error", 2).when(F.col("severity") == "warning", 1).otherwise(0)).alias("w"))
