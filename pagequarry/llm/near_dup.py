@@ -21,10 +21,10 @@ each as a 64-bit hash. Two documents are linked if their Jaccard similarity is
 4. Components of confirmed links (star contraction, written at each round); buckets
    whose documents lie in different components have another round, with new hubs.
 5. What the rounds can miss: documents of one bucket that still lie in different
-   components. A join over these buckets alone, cut by size and into blocks, with the
-   sketch test in its condition, finds them; new links are confirmed and the components
-   joined. Its work grows with the square of the unlinked documents of a bucket (texts
-   that share much and are no copies), spread over the cluster in blocks of one size.
+   components. In buckets with few of a size each meets each, with the sketch test in the join's
+   condition; documents of larger ones, which share much and are no copies, meet where they share
+   a rare shingle (a prefix-filtered join, which loses nothing), and then have the sketch test. New links are
+   confirmed and the components joined.
 
 A pair at similarity 0.75 shares no band with probability 6e-5, and fails the
 sketch test with about 3e-5; both fall quickly above. Nulls and texts without words have an empty set
@@ -41,6 +41,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ._shared import broadcast_if_small, written
 from .components import components
@@ -55,7 +56,7 @@ PERCENT = 75
 #: Lowest estimate that is confirmed on the full sets: four standard deviations below 0.75.
 SKETCH_MIN = 0.62
 LAST = 2**63 - 1
-#: Documents of a bucket's size class that one join key of the last step holds, about twice.
+#: Documents of a bucket's size class up to which each meets each in the last step, and of a label that one row of its join holds, about.
 BLOCK = 256
 #: Most rows of a list of documents or classes that is broadcast (at most 40 bytes each).
 BROADCAST_ROWS = 500_000
@@ -249,7 +250,7 @@ def near_duplicates(docs: DataFrame, star_rounds: int = 2) -> DataFrame:
         tried = tried.union(best)
         links = links.union(written(_confirmed(best, docs), "near-links"))
         labels = _labels(sketched, links)
-    rest = _sweep(_open_buckets(buckets, labels), sketched)
+    rest = _sweep(_open_buckets(buckets, labels), sketched, docs)
     pairs = written(rest.join(tried, ["a", "b"], "left_anti").join(tried.toDF("b", "a"), ["a", "b"], "left_anti"), "near-rest")
     if not pairs.isEmpty():
         links = links.union(written(_confirmed(pairs, docs), "near-links"))
@@ -268,29 +269,66 @@ def _open_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     return written(labelled.join(mixed, "key", "left_semi").select("key", "doc", "label"), "near-open")
 
 
-def _sweep(open_: DataFrame, sketched: DataFrame) -> DataFrame:
+def _sweep(open_: DataFrame, sketched: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of one bucket with different labels that pass the size and sketch tests.
 
     A bucket is first cut into classes of sizes, each 4/3 times the one before (with
     PERCENT 75): two documents that the size test allows lie in one class or in
-    neighbouring ones. A class of more than BLOCK documents is cut into blocks, and each
-    pair of blocks is a join key of its own, so that no key has more than about twice
-    BLOCK rows, however large the bucket. Pairs that fail the tests leave no row.
+    neighbouring ones. Documents of a class of at most BLOCK documents are compared with each other.
+    Those of larger classes share much without being copies, or their bucket would be closed by now: they
+    go by their rare shingles, see ``_by_rare_shingles``. So rows grow with the bucket, however large it is.
     """
     step = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / PERCENT)) + 1e-9).cast("int")
-    rows = open_.join(sketched, "doc").withColumn("own", step).withColumn("class", F.explode(F.array(F.col("own"), F.col("own") + 1)))
+    rows = open_.join(sketched.select("doc", "n"), "doc").withColumn("own", step).withColumn("class", F.explode(F.array(F.col("own"), F.col("own") + 1)))
     sizes = rows.groupBy("key", "class").agg(F.count("*").alias("size"), F.max(F.col("own") == F.col("class")).alias("any")).where("size > 1 and any")
-    cut = sizes.select("key", "class", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    rows = rows.join(broadcast_if_small(written(cut, "near-cut"), BROADCAST_ROWS), ["key", "class"])
-    mine = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
-    rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", "class", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "own", "doc", "label", "n", "sketch", "parity")
-    rows = written(rows, "near-sweep")
-    at = [F.col(f"a_{c}") == F.col(f"b_{c}") for c in ("key", "class", "i", "j")]
-    near = at[0] & at[1] & at[2] & at[3] & (F.col("a_label") != F.col("b_label")) & (F.col("a_doc") > F.col("b_doc"))
-    # Each pair once: in the larger one's class, and of two blocks' pair only across them.
-    near = near & (F.greatest("a_own", "b_own") == F.col("a_class")) & ((F.col("a_i") == F.col("a_j")) | (F.col("a_mine") != F.col("b_mine")))
-    return _side(rows, "a").join(_side(rows, "b"), near & _sizes_allow() & _sketches_allow()).select(F.col("a_doc").alias("a"), F.col("b_doc").alias("b")).distinct()
+    sizes = broadcast_if_small(written(sizes.select("key", "class", (F.col("size") > BLOCK).alias("large")), "near-classes-of-size"), BROADCAST_ROWS)
+    rows = written(rows.join(sizes, ["key", "class"]).select("key", "class", "own", "doc", "label", "large"), "near-sweep")
+    small = rows.where("not large").drop("large").join(sketched, "doc")
+    near = (F.col("a_key") == F.col("b_key")) & (F.col("a_class") == F.col("b_class")) & (F.col("a_label") != F.col("b_label")) & (F.col("a_doc") > F.col("b_doc"))
+    # Each pair once: in the larger one's class.
+    near = near & (F.greatest("a_own", "b_own") == F.col("a_class"))
+    met = _side(small, "a").join(_side(small, "b"), near & _sizes_allow() & _sketches_allow()).select(F.col("a_doc").alias("a"), F.col("b_doc").alias("b"))
+    large = rows.where("large").select("doc", "label").distinct()
+    if large.isEmpty():
+        return met.distinct()
+    rare = written(_by_rare_shingles(large, docs), "near-rare")
+    return met.union(_pairs_with_bits(rare, sketched).select("a", "b")).distinct()
+
+
+def _shingle_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for doc, part, text in zip(pdf["doc"], pdf["part"], pdf["text"], strict=True):
+            s = shingle_set(text).view(np.int64)
+            yield pd.DataFrame({"doc": doc, "part": part, "n": len(s), "shingle": s})
+
+
+def _by_rare_shingles(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of members (doc, label) with different labels that share a rare shingle where copies must.
+
+    A prefix-filtered join, which loses no pair: with the shingles of each text in one order, rare ones (among the
+    members) first, two sets that reach the similarity meet in the first n - ceil(3/4 n) + 1 of the larger and
+    the first n - ceil(6/7 n) + 1 of the smaller one (for PERCENT 75). What all members share stands last and is
+    not among these, unless next to nothing else is in the texts, and then they are copies. Members of one label meet in blocks of
+    BLOCK, so that a group of linked copies is not paired with itself.
+    """
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64("text").alias("part"), F.col("text").cast("string").alias("text"))
+    texts = texts.join(broadcast_if_small(members.select("doc"), BROADCAST_ROWS), "doc", "left_semi").dropDuplicates(["doc", "part"])
+    shingles = written(texts.mapInPandas(_shingle_rows, "doc long, part long, n int, shingle long"), "near-shingles")
+    known = shingles.groupBy("shingle").agg(F.count("*").alias("texts"))
+    order = Window.partitionBy("doc", "part").orderBy("texts", "shingle")
+    ranked = shingles.join(known, "shingle").withColumn("rank", F.row_number().over(order))
+    least = lambda x, y: F.col("n") - F.ceil(F.col("n") * x / F.lit(float(y))) + 1
+    ranked = ranked.where("texts > 1").where(F.col("rank") <= least(PERCENT, 100)).withColumn("first", F.col("rank") <= least(2 * PERCENT, 100 + PERCENT))
+    sizes = members.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    held = members.join(sizes, "label").select("doc", "label", F.pmod(F.xxhash64("doc"), F.col("blocks")).alias("block"))
+    postings = ranked.join(held, "doc").groupBy("shingle", "label", "block").agg(F.collect_list(F.struct("n", "doc", "rank", "first")).alias("m"))
+    postings = written(postings, "near-postings")
+    smaller = postings.where(F.exists("m", lambda x: x["first"])).select("shingle", F.col("label").alias("la"), F.filter("m", lambda x: x["first"]).alias("x"))
+    met = smaller.join(postings.select("shingle", F.col("label").alias("lb"), F.col("m").alias("y")), "shingle").where("la <> lb")
+    met = met.select(F.explode("x").alias("x"), "y").select("x", F.explode("y").alias("y")).where("x.n < y.n or x.n = y.n and x.doc < y.doc")
+    both = F.ceil((F.col("x.n") + F.col("y.n")) * PERCENT / F.lit(float(100 + PERCENT)))
+    met = met.where(F.col("x.n") * 100 >= F.col("y.n") * PERCENT).where(F.least(F.col("x.n") - F.col("x.rank"), F.col("y.n") - F.col("y.rank")) + 1 >= both)
+    return met.select(F.greatest("x.doc", "y.doc").alias("a"), F.least("x.doc", "y.doc").alias("b")).distinct()
 
 
 def _labels(nodes: DataFrame, links: DataFrame) -> DataFrame:

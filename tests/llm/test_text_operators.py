@@ -228,6 +228,33 @@ def test_the_last_step_finds_what_hubs_miss(spark, monkeypatch):
     assert [rows[i] for i in range(60)] == [g for _, g in brute_groups(texts)]
 
 
+@pytest.mark.parametrize("n", [300, 900])
+def test_a_large_bucket_of_texts_that_are_no_copies_is_linear(spark, monkeypatch, n):
+    """One boilerplate in all texts: rows of the last step grow with the bucket, and the few pairs in it are found."""
+    monkeypatch.setattr(near_dup, "BLOCK", 16)
+    rows, kept = {}, near_dup.written
+
+    def counted(df, name):
+        out = kept(df, name)
+        if name in ("near-shingles", "near-postings", "near-rare", "near-sweep"):
+            rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(near_dup, "written", counted)
+    r = random.Random(23)
+    common = words(r, 150, 10**6)
+    texts = []
+    for k in range(n):
+        own = [f"own{k}x{i}" for i in range(r.randint(60, 75))]
+        texts.append(" ".join(common + own))
+        if k % 50 == 0:
+            texts.append(" ".join(common + own[:-2] + ["other", "end"]))
+    found = {x.doc_id: x.component_id for x in near_dup.near_duplicates(frame(spark, texts), star_rounds=0).collect()}
+    assert sum(found[i] != i for i in range(len(texts))) == n // 50
+    assert rows["near-shingles"] <= 230 * len(texts) and rows["near-postings"] <= 60 * len(texts) and rows["near-rare"] <= len(texts)
+    assert rows["near-sweep"] <= 72 * len(texts)
+
+
 def test_near_duplicates_of_an_empty_table_and_null_ids(spark):
     assert near_dup.near_duplicates(frame(spark, [])).collect() == []
     df = spark.createDataFrame([(None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f")], "doc_id long, text string")
