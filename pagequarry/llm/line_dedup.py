@@ -5,8 +5,8 @@ ends. An occurrence goes if an earlier one, in order of (doc_id, line number),
 has an equal line, or one within one edit (a character inserted, deleted or
 replaced) where both have ``near_from`` characters or more: the edit bound goes by
 length, 0 below ``near_from`` and 1 from there on. In a short line one edit makes another
-word ("page 1", "page 2"), so the production value is ``NEAR_FROM``; 4 is the least, where
-all but the shortest lines are compared with one edit. The rule is about
+word ("page 1", "page 2"), so the production value is ``NEAR_FROM``; with 1 all lines are compared with one
+edit, with None none is. The rule is about
 pairs, not chains: it does not matter whether the earlier line itself stays.
 Lines without a word are never compared and always stay.
 
@@ -14,7 +14,7 @@ Only distinct lines enter the neighbourhood join. Two lines within one edit
 agree outside the place of the edit, so they share the key of some segment: the
 hash of what stands before and after it, measured in the shorter line. Keys
 over halves (computed with the first scan) leave the few lines that may have a
-neighbour; keys over about sqrt(length) segments then tell where in such a line
+neighbour (lines of up to ``SHORT`` characters, of which there are few distinct ones, all may); keys over about sqrt(length) segments then tell where in such a line
 the edit can be, and there every deletion variant is emitted as a hashed key.
 Equal variants meet: two lines with the same variant at the same place differ in
 one character, so their group is never larger than the alphabet and its earliest
@@ -36,6 +36,8 @@ from ._shared import SPACE_CHARS, broadcast_if_small, text_or_empty, written
 
 #: Length from which lines are compared with one edit, shorter ones for equality.
 NEAR_FROM = 20
+#: Lines of up to so many characters have halves too short to tell them apart: one key stands for all of these.
+SHORT = 4
 #: Most rows of a line list that is broadcast (about 40 bytes each); longer lists are joined by shuffle.
 BROADCAST_ROWS = 400_000
 LAST = 2**63 - 1
@@ -59,12 +61,16 @@ def _half_keys() -> Column:
     odd = F.col("len") % 2 == 1
     begins = lambda n: F.xxhash64(F.lit(0), F.substring(line, F.lit(1), n))
     ends = lambda n: F.xxhash64(F.lit(1), F.substring(line, F.col("len") - n + 1, n))
-    return F.array(begins(half), ends(half), F.when(odd, ends(half + 1)).otherwise(begins(half - 1)))
+    keys = F.array(begins(half), ends(half), F.when(odd, ends(half + 1)).otherwise(begins(half - 1)))
+    # A line of SHORT characters may be one edit from a longer one as well.
+    short = F.array(F.xxhash64(F.lit(2)))
+    return F.when(F.col("len") < SHORT, short).when(F.col("len") == SHORT, F.concat(short, keys)).otherwise(keys)
 
 
-def _first_lines(docs: DataFrame, near_from: int) -> DataFrame:
+def _first_lines(docs: DataFrame, near_from: int | None) -> DataFrame:
     """One row per distinct line: its hash, number of occurrences, first place and half keys."""
-    rows = _lines(docs).withColumn("keys", F.when(F.col("len") >= near_from, _half_keys()))
+    near = F.col("len") >= near_from if near_from is not None else F.lit(False)
+    rows = _lines(docs).withColumn("keys", F.when(near, _half_keys()))
     return rows.groupBy("h", "len").agg(F.count("*").alias("n"), F.min(F.struct("d", "pos", "th")).alias("first"), F.max("keys").alias("keys"))
 
 
@@ -77,7 +83,7 @@ def _shared(rows: DataFrame, key: str) -> DataFrame:
 def _variants(texts: DataFrame) -> DataFrame:
     """Deletion variants where a pair's edit can be: (h, len, first, a, kind, key)."""
     a = F.explode(F.array(F.col("len"), F.col("len") - 1)).alias("a")
-    segments = texts.select("h", "len", "first", "line", a).withColumn("q", F.ceil(F.sqrt("a")).cast("int"))
+    segments = texts.select("h", "len", "first", "line", a).where("a > 0").withColumn("q", F.ceil(F.sqrt("a")).cast("int"))
     segments = segments.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
     segments = segments.withColumns({"start": F.expr("cast((cast(a as bigint) * j) div q as int)"), "end": F.expr("cast((cast(a as bigint) * (j + 1)) div q as int)")})
     segments = segments.withColumn("key", F.xxhash64("a", "j", *_parts(F.col("line"), F.col("len"), F.col("a"), F.col("start"), F.col("end"))))
@@ -112,10 +118,8 @@ def _near_lines(texts: DataFrame) -> DataFrame:
     return verified.select("h", "len").distinct()
 
 
-def removed_lines(docs: DataFrame, near_from: int = NEAR_FROM) -> DataFrame:
+def removed_lines(docs: DataFrame, near_from: int | None = NEAR_FROM) -> DataFrame:
     """(d, th, gone): for each document that loses lines, the sorted numbers of these lines."""
-    if near_from < 4:
-        raise ValueError("near_from is 4 at least")
     firsts = written(_first_lines(docs, near_from), "line-firsts")
     keyed = firsts.where("keys is not null").select("h", F.explode("keys").alias("key"))
     halves = broadcast_if_small(written(_shared(keyed, "key").select("h").distinct(), "line-halves"), BROADCAST_ROWS)
@@ -129,7 +133,7 @@ def removed_lines(docs: DataFrame, near_from: int = NEAR_FROM) -> DataFrame:
     return gone.groupBy("d", "th").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, near_from: int = NEAR_FROM) -> DataFrame:
+def dedup_lines(docs: DataFrame, near_from: int | None = NEAR_FROM) -> DataFrame:
     """docs (doc_id, text and any other columns) with the remaining lines as text.
 
     Adds n_lines (lines with a word), n_removed and emptied (it had words and has

@@ -152,15 +152,14 @@ def test_line_dedup_matches_brute_force(spark):
     assert all(x == "keep" for _, x in got.values())
 
 
-def test_line_dedup_of_short_lines_and_long_texts(spark):
+@pytest.mark.parametrize("near_from", [1, 2, 3, 4, None])
+def test_line_dedup_of_short_lines_and_long_texts(spark, near_from):
     r = random.Random(19)
-    docs = [(i, "\n".join("".join(r.choice("ab") for _ in range(r.randint(1, 9))) for _ in range(r.randint(0, 12)))) for i in range(60)]
+    docs = [(i, "\n".join("".join(r.choice("abcdéf" if i > 30 else "ab") for _ in range(r.randint(1, 9))) for _ in range(r.randint(0, 12)))) for i in range(60)]
     docs.append((60, "\n".join(f"line {k} of a text that has very many of them, {k * 7919 % 10007}" for k in range(20_000))))
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = {x.doc_id: x.text for x in line_dedup.dedup_lines(df, near_from=4).where("doc_id < 60").collect()}
-    assert got == brute_lines(docs[:60], 4)
-    with pytest.raises(ValueError):
-        line_dedup.dedup_lines(df, near_from=3)
+    got = {x.doc_id: x.text for x in line_dedup.dedup_lines(df, near_from=near_from).where("doc_id < 60").collect()}
+    assert got == brute_lines(docs[:60], near_from or 10**9)
 
 
 def test_line_dedup_of_empty_and_repeated_rows(spark):
