@@ -32,7 +32,12 @@ ENTITY = r"\b(?:[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)\b"
 
 def tokens_of(text: Column) -> Column:
     """Words in lower case."""
-    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+    return tokens_in(F.lower(text))
+
+
+def tokens_in(low: Column) -> Column:
+    """Words of a lower-cased text."""
+    return F.regexp_extract_all(low, F.lit(TOKEN), F.lit(0))
 
 
 def _bound(value: Column, use) -> Column:
@@ -40,9 +45,9 @@ def _bound(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def phrases_in(text: Column, phrases: tuple[str, ...]) -> Column:
-    """The phrases that a text contains, in the list's order."""
-    return F.array_compact(_bound(F.lower(text), lambda low: F.array(*[F.when(F.contains(low, F.lit(p)), F.lit(p)) for p in phrases])))
+def phrases_in(low: Column, phrases: tuple[str, ...]) -> Column:
+    """The phrases that a lower-cased text contains, in the list's order; low is a column of its own, so that it is made once."""
+    return F.array_compact(F.array(*[F.when(F.contains(low, F.lit(p)), F.lit(p)) for p in phrases]))
 
 
 def repeated_bigrams(tokens: Column) -> Column:
@@ -74,13 +79,13 @@ def analyse(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with tokens, unique_tokens, filler_hits, ai_hits, entities, numbers and the scores and flags of the text."""
     t = F.coalesce(F.col(text), F.lit(""))
     empty = F.btrim(t, F.lit(" \t\n\r\x0b\f")) == ""
-    df = docs.withColumn("__tokens", tokens_of(t))
+    df = docs.withColumn("__low", F.lower(t)).withColumn("__tokens", tokens_in(F.col("__low")))
     df = df.withColumns(
         {
             "tokens": F.size("__tokens").cast("long"),
             "unique_tokens": F.size(F.array_distinct("__tokens")).cast("long"),
-            "filler_hits": phrases_in(t, FILLER),
-            "ai_hits": phrases_in(t, GENERATED),
+            "filler_hits": phrases_in(F.col("__low"), FILLER),
+            "ai_hits": phrases_in(F.col("__low"), GENERATED),
             "entities": F.regexp_count(t, F.lit(ENTITY)).cast("long"),
             "numbers": F.regexp_count(t, F.lit(NUMBER)).cast("long"),
             "__repeated": repeated_bigrams(F.col("__tokens")),
@@ -114,7 +119,7 @@ def analyse(docs: DataFrame, text: str = "text") -> DataFrame:
             "flags": F.when(empty, F.array(F.lit("empty-input"))).otherwise(F.filter(raised, lambda x: x.isNotNull())),
         }
     )
-    return df.drop("__tokens", "__repeated", "__density")
+    return df.drop("__low", "__tokens", "__repeated", "__density")
 
 
 def uniqueness(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

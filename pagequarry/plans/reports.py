@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagequarry.operators import clusters, links, metrics, site_rules
-from pagequarry.sources import speed
+from pagequarry.operators import clusters, drift, html, links, metrics, site_rules
+from pagequarry.sources import sinks, speed
 
 from ._sql import table
 
@@ -183,3 +183,77 @@ def a23(spark, sf):
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     rows = table(spark, sf, "orders").select(c.alias("site"), F.when(k % 4 > 0, k % (c % 40 + 1)).alias("domain"), (k % 5 == 0).alias("nofollow"))
     return links.concentration(rows, "site")
+
+
+#: An image for each way of loading late, by the page's number.
+_IMAGES = (
+    '<img src="/a.png" loading="lazy" data-src="/b.png">', '<img src="/a.png" loading="eager">', '<img data-perfmatters-src="/a.png">', '<img class="big perfmatters-lazy" data-src="/a.png">',
+    '<img data-ewww-src="/a.png">', '<img data-src="/a.png">', '<img src="/a.png" class="lazyloaded">', '<img src="/a.png">',
+)
+_METHODS = ("native", "none", "perfmatters", "perfmatters", "ewww", "js-generic", "js-generic", "none")
+_METHOD_OF = " ".join(f"WHEN {k} THEN '{m}'" for k, m in enumerate(_METHODS))
+
+
+@query("h02_lazy_images", f"SELECT page_id, CASE page_id % 8 {_METHOD_OF} END AS lazy_method FROM pages")
+def h02(spark, sf):
+    """Pages with one more image at their beginning: how it is loaded late."""
+    image = F.get(F.array(*map(F.lit, _IMAGES)), (F.col("page_id") % len(_IMAGES)).cast("int"))
+    pages = table(spark, sf, "pages").withColumn("html", F.concat(image, F.coalesce("html", F.lit(""))))
+    return html.parse_pages(pages).select("page_id", F.get("parsed.images", F.lit(0))["lazy_method"].alias("lazy_method"))
+
+
+@query(
+    "h08_accessibility_trees",
+    """WITH c AS (SELECT o_custkey AS c, count(*) AS n, count(*) FILTER (WHERE o_orderkey % 4 = 0) AS b, count(*) FILTER (WHERE o_orderkey % 4 = 1) AS l, count(*) FILTER (WHERE o_orderkey % 4 = 2) AS g, count(*) FILTER (WHERE o_orderkey % 4 < 2 AND o_orderkey % 3 = 0) AS u FROM orders GROUP BY 1)
+SELECT c_custkey AS page, c IS NOT NULL AS tree_present, CAST(coalesce(n + 1, 0) AS INTEGER) AS total_nodes, CAST(coalesce(b + l, 0) AS INTEGER) AS interactive_nodes, CAST(coalesce(b, 0) AS INTEGER) AS role_button, CAST(coalesce(l, 0) AS INTEGER) AS role_link, CAST(coalesce(g, 0) AS INTEGER) AS role_generic, CAST(coalesce(u, 0) AS INTEGER) AS unnamed_interactive
+FROM customer LEFT JOIN c ON c = c_custkey""",
+)
+def h08(spark, sf):
+    """Customers as pages, their orders as nodes of the page's accessibility tree."""
+    k = F.col("o_orderkey")
+    role = F.get(F.array(F.lit("button"), F.lit("Link"), F.lit("generic"), F.lit("heading")), (k % 4).cast("int"))
+    nodes = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("page")).agg(F.collect_list(F.struct(role.alias("role"), F.when(k % 3 > 0, "name").otherwise(" ").alias("name"))).alias("children"))
+    trees = nodes.select("page", F.to_json(F.struct(F.lit("document").alias("role"), "children")).alias("tree"))
+    pages = table(spark, sf, "customer").select(F.col("c_custkey").alias("page")).join(trees, "page", "left")
+    return pages.select("page", html.accessibility_counts("tree").alias("a")).select("page", "a.*")
+
+
+@query("u07_chosen_baselines", "SELECT user_id AS url_hash, event_id AS id, event_type AS title FROM events WHERE (user_id, event_id) IN (SELECT user_id, min(event_id) FROM events WHERE event_type = 'click' GROUP BY 1)")
+def u07(spark, sf):
+    """The first click of each user as the baseline of one's choice."""
+    rows = table(spark, sf, "events").select(F.col("user_id").alias("url_hash"), F.col("event_id").alias("id"), F.col("event_type").alias("title"))
+    choices = rows.where("title = 'click'").groupBy("url_hash").agg(F.min("id").alias("id"))
+    return drift.chosen(rows, choices)
+
+
+@query(
+    "k11_audit_envelopes",
+    """WITH f AS (SELECT o_custkey AS site, ['technical', 'content', 'links'][CAST(o_orderkey % 3 AS INTEGER) + 1] AS category, ['Critical', 'High', 'Medium', 'Info'][CAST(o_orderkey % 4 AS INTEGER) + 1] AS severity FROM orders)
+SELECT c_custkey AS site, CAST(c_custkey % 100 AS DOUBLE) AS score, CAST(count(*) FILTER (WHERE severity = 'Critical') AS BIGINT) AS critical, CAST(count(*) FILTER (WHERE severity = 'Info') AS BIGINT) AS info, CAST(count(DISTINCT category) AS INTEGER) AS categories, min(category) AS first_category,
+CAST(sum(CASE WHEN category = first THEN 1 ELSE 0 END) AS BIGINT) AS first_n FROM customer LEFT JOIN (SELECT *, min(category) OVER (PARTITION BY site) AS first FROM f) f ON site = c_custkey GROUP BY c_custkey""",
+)
+def k11(spark, sf):
+    """Customers as audited sites, orders as findings; the envelope is read back."""
+    k, n = F.col("o_orderkey"), F.col("c_custkey")
+    pick = lambda names: F.get(F.array(*map(F.lit, names)), (k % len(names)).cast("int"))
+    findings = table(spark, sf, "orders").select(F.col("o_custkey").alias("site"), pick(("technical", "content", "links")).alias("category"), pick(("Critical", "High", "Medium", "Info")).alias("severity"), F.concat(F.lit("m"), k.cast("string")).alias("message"))
+    scores = table(spark, sf, "customer").select(n.alias("site"), (n % 100).cast("double").alias("score"))
+    schema = "summary struct<score:double,critical:long,high:long,medium:long,info:long>, categories array<struct<category:string,n:long,findings:array<struct<severity:string,message:string>>>>"
+    read = sinks.audit_envelope(findings, scores).select("site", F.from_json("envelope", schema).alias("e"))
+    first = F.get("e.categories", F.lit(0))
+    return read.select("site", "e.summary.score", "e.summary.critical", "e.summary.info", F.coalesce(F.greatest(F.size("e.categories"), F.lit(0)), F.lit(0)).alias("categories"), first["category"].alias("first_category"), F.coalesce(F.size(first["findings"]), F.lit(0)).cast("long").alias("first_n"))
+
+
+@query(
+    "p04_schema_types",
+    """SELECT page_id, CASE page_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'Article,Product' WHEN 2 THEN 'Offer' ELSE 'Product' END AS types, page_id % 4 = 1 AS same FROM pages""",
+)
+def p04(spark, sf):
+    """Types of a page's JSON nodes without vocabulary and doubles, and whether two orders of keys give one canonical text."""
+    k = F.col("page_id") % 4
+    texts = lambda *xs: F.array(*map(F.lit, xs))
+    one = F.when(k == 1, texts('{"@type": "https://schema.org/Product", "a": 1}', '{"@type": ["Article", "Product"]}')).when(k == 2, texts('{"@type": "x#Offer"}', "3")).when(k == 3, texts('{"@type": "Product", "name": "x"}', '{"b": 1}'))
+    two = F.when(k == 1, texts('{"a": 1, "@type": "https://schema.org/Product"}', '{"@type": ["Article", "Product"]}')).when(k == 2, texts('{"@type": "x#Offer"}')).when(k == 3, texts('{"@type": "Product", "name": "y"}', '{"b": 1}'))
+    rows = table(spark, sf, "pages").select("page_id", one.alias("one"), two.alias("two"))
+    made = rows.select("page_id", drift.top_types("one").alias("types"), drift.canonical_json("one").alias("a"), drift.canonical_json("two").alias("b"))
+    return made.select("page_id", F.array_join("types", ",").alias("types"), F.coalesce(F.col("a") == F.col("b"), F.lit(False)).alias("same"))
