@@ -312,20 +312,36 @@ def fake_review_flags(reviews: DataFrame, spike: float = 3.0) -> DataFrame:
 # --- gates, estimates, orders
 
 
-def cluster_gates(posts: DataFrame, links: DataFrame) -> DataFrame:
-    """Per cluster the six gates, true where passed; posts: cluster, url, is_pillar, keyword, words, target_words; links: src, dst."""
+def cluster_gates(posts: DataFrame, links: DataFrame, shows: DataFrame | None = None, lists: DataFrame | None = None) -> DataFrame:
+    """Per cluster the six gates, true where passed; posts: cluster, url, is_pillar, keyword, words, target_words; links: src, dst.
+
+    Menus are given as shows (menu, src) and lists (menu, dst): every page that shows a menu links to every page it lists. These links, as many
+    as the product of the two, are never made: pages are counted by the set of menus they show, and a page's incoming
+    links are those of the sets that meet the menus it is on. A link that is given and also in a menu counts once.
+    """
     edges = links.where("src <> dst").select("src", "dst").distinct()
-    of = posts.select("cluster", F.col("url").alias("dst"))
-    incoming = edges.join(of, "dst").join(posts.select(F.col("cluster").alias("from_cluster"), F.col("url").alias("src")), "src").where("cluster = from_cluster")
-    incoming = incoming.groupBy("dst").agg(F.count("*").alias("n")).withColumnRenamed("dst", "url")
-    pillars = posts.where("is_pillar").select("cluster", F.col("url").alias("pillar"))
-    spokes = posts.join(pillars, "cluster", "left").join(incoming, "url", "left").fillna(0, ["n"])
+    menus = lambda df, url, to: df.groupBy(F.col(url).alias("url")).agg(F.array_sort(F.collect_set("menu")).alias(to))
+    met = lambda a, b: F.coalesce(F.arrays_overlap(a, b), F.lit(False))
+    if shows is None or lists is None:
+        posts = posts.withColumns({"shown": F.array().cast("array<string>"), "on": F.array().cast("array<string>")})
+    else:
+        posts = posts.join(menus(shows, "src", "shown"), "url", "left").join(menus(lists, "dst", "on"), "url", "left")
+    of = posts.select("cluster", F.col("url").alias("dst"), "on")
+    incoming = edges.join(of, "dst").join(posts.select(F.col("cluster").alias("from_cluster"), F.col("url").alias("src"), "shown"), "src").where("cluster = from_cluster")
+    incoming = incoming.where(~met("shown", "on")).groupBy("dst").agg(F.count("*").alias("n")).withColumnRenamed("dst", "url")
+    sets = posts.where(F.size("shown") > 0).groupBy("cluster", "shown").agg(F.count("*").alias("pages"))
+    by_menu = posts.where(F.size("on") > 0).select("cluster", "on").distinct().join(sets, "cluster").where(met("shown", "on")).groupBy("cluster", "on").agg(F.sum("pages").alias("by_menu"))
+    pillars = posts.where("is_pillar").select("cluster", F.col("url").alias("pillar"), F.col("shown").alias("pillar_shown"), F.col("on").alias("pillar_on"))
+    spokes = posts.join(pillars, "cluster", "left").join(incoming, "url", "left").join(by_menu, ["cluster", "on"], "left").fillna(0, ["n", "by_menu"])
+    # A page that shows a menu it is on does not link to itself.
+    spokes = spokes.withColumn("n", F.col("n") + F.col("by_menu") - met("shown", "on").cast("int"))
     up = edges.select(F.col("src").alias("url"), F.col("dst").alias("pillar"), F.lit(True).alias("up"))
     down = edges.select(F.col("dst").alias("url"), F.col("src").alias("pillar"), F.lit(True).alias("down"))
     spokes = spokes.join(up, ["url", "pillar"], "left").join(down, ["url", "pillar"], "left")
+    links_up, links_down = F.col("up").isNotNull() | met("shown", "pillar_on"), F.col("down").isNotNull() | met("pillar_shown", "on")
     spoke = ~F.col("is_pillar")
     out = spokes.groupBy("cluster").agg(
-        (F.count_if(spoke & F.col("up").isNull()) == 0).alias("spokes_link_pillar"), (F.count_if(spoke & F.col("down").isNull()) == 0).alias("pillar_links_spokes"),
+        (F.count_if(spoke & ~links_up) == 0).alias("spokes_link_pillar"), (F.count_if(spoke & ~links_down) == 0).alias("pillar_links_spokes"),
         (F.min("n") >= 3).alias("enough_incoming"), (F.min("n") > 0).alias("no_orphans"), (F.count_if(F.col("words") < 0.8 * F.col("target_words")) == 0).alias("long_enough"),
     )
     keywords = posts.groupBy("cluster", F.lower("keyword").alias("k")).agg(F.count("*").alias("n")).groupBy("cluster").agg((F.max("n") == 1).alias("own_keywords"))

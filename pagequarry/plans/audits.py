@@ -283,8 +283,10 @@ def v24(spark, sf):
     posts = part.join(F.broadcast(tops), "cluster").select("cluster", "url", (F.col("url") == F.col("top")).alias("is_pillar"), (F.col("p_size") % 40).cast("string").alias("keyword"), F.col("p_size").alias("words"), F.lit(5).alias("target_words"), "top")
     down = posts.select(F.col("top").alias("src"), F.col("url").alias("dst"))
     up = posts.where("words > 1").select(F.col("url").alias("src"), F.col("top").alias("dst"))
-    some = posts.where("url % 10 = 1").select("cluster", F.col("url").alias("src")).join(posts.where("url % 10 < 8").select("cluster", F.col("url").alias("dst")), "cluster").select("src", "dst")
-    return audits.cluster_gates(posts.drop("top"), down.union(up).union(some))
+    # A menu of each brand: a part in ten shows it, eight in ten are on it.
+    shows = posts.where("url % 10 = 1").select(F.col("cluster").alias("menu"), F.col("url").alias("src"))
+    lists = posts.where("url % 10 < 8").select(F.col("cluster").alias("menu"), F.col("url").alias("dst"))
+    return audits.cluster_gates(posts.drop("top"), down.union(up), shows, lists)
 
 
 @query("v17_cost_estimates", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 3 THEN 'unknown_endpoint' ELSE 'estimated' END AS status, CASE o_orderkey % 4 WHEN 0 THEN round(0.002 * greatest(1, o_orderkey % 5), 4) WHEN 1 THEN round(0.01 * greatest(1, o_orderkey % 5), 4) WHEN 2 THEN round(0.05 * greatest(1, o_orderkey % 5), 4) END AS total_cost, CASE WHEN o_orderkey % 4 = 3 THEN 'serp/live,serp/task' END AS near FROM orders")
