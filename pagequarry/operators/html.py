@@ -14,9 +14,11 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from pagequarry.functions.schemas import struct
 
@@ -153,10 +155,17 @@ class _Page(HTMLParser):
         self.out["schema"] += [json.dumps(x, ensure_ascii=False) for x in nodes]
 
 
-def parse_page(html: str | None, url: str | None = None) -> dict:
-    """The parsed-page record of one page; null html is an empty page."""
+#: A script, style or comment, where references are text, or the start of a reference without its semicolon.
+_UNENDED = re.compile(r"(<(script|style)\b.*?</\2\s*>|<!--.*?-->)|&(?!(?:[a-z][a-z0-9]*|#[0-9]+|#x[0-9a-f]+);)", re.IGNORECASE | re.DOTALL)
+
+
+def parse_page(html: str | None, url: str | None = None, ended_only: bool = False) -> dict:
+    """The parsed-page record of one page; null html is an empty page.
+
+    Browsers also decode some references without their semicolon (``&amp``); with ``ended_only`` these stay as they are written.
+    """
     page = _Page(url)
-    page.feed(html or "")
+    page.feed(_UNENDED.sub(lambda m: m[1] or "&amp;", html or "") if ended_only else html or "")
     page.close()
     out = {k: v for k, v in page.out.items() if k[0] != "_"}
     for h in ("h1", "h2", "h3"):
@@ -165,15 +174,25 @@ def parse_page(html: str | None, url: str | None = None) -> dict:
     return out
 
 
-def parse_pages(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """pages with a struct column ``parsed``."""
-    names = [f.name for f in T.StructType.fromDDL(PARSED)]
+#: Pages that a Python worker holds as objects at once; a batch of many more stays in Arrow's buffers.
+PAGES_AT_ONCE = 64
+
+
+def parse_pages(pages: DataFrame, html: str = "html", url: str = "url", ended_only: bool = False) -> DataFrame:
+    """pages with a struct column ``parsed``; ``ended_only`` as in parse_page.
+
+    A batch is parsed and handed on in slices, so a worker's memory goes by the slice and the batch's bytes, not by its pages' facts.
+    """
+    kind = T.StructType.fromDDL(PARSED)
+    arrow = to_arrow_type(kind)
 
-    @F.pandas_udf(T.StructType.fromDDL(PARSED))
-    def parse(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(kind)
+    def parse(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for h, u in batches:
-            rows = [parse_page(x, y) for x, y in zip(h, u, strict=True)]
-            yield pd.DataFrame({n: [r[n] for r in rows] for n in names})
+            for at in range(0, len(h), PAGES_AT_ONCE):
+                some = zip(h.slice(at, PAGES_AT_ONCE).to_pylist(), u.slice(at, PAGES_AT_ONCE).to_pylist(), strict=True)
+                facts = [parse_page(x, y, ended_only) for x, y in some]
+                yield pa.array([f | {m: list(f[m].items()) for m in ("open_graph", "twitter_card")} for f in facts], arrow)
 
     return pages.withColumn("parsed", parse(html, url))
 
