@@ -18,6 +18,10 @@ KM_PER_DEGREE = 111.32
 EARTH_KM = 6371.0088
 #: Keywords of one url that are paired in one group of the join, on average.
 PAIR_BLOCK = 200
+#: Pairs that one task counts, on average: their counts stay within a few hundred megabytes.
+TASK_PAIRS = 4_000_000
+#: Names of one point that stand in one row, on average.
+POINT_BLOCK = 1_000
 
 
 def _pairs(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -63,8 +67,13 @@ def result_overlap(results: DataFrame, group: str | None = None, ubiquitous: int
         named = rows.withColumn("__of", domain if domain is not None else F.col("url"))
         heavy = written(heavy_hitters(named.select("keyword", "__of").distinct(), "__of", ubiquitous).select("__of"), "heavy")
         rows = named.join(heavy, "__of", "left_anti").drop("__of")
-    pairs = _pairs(rows, keys)
-    # Without a group no pair meets twice at a url, so plain counts, summed before the shuffle, are distinct.
+    # Pairs mostly meet once, so sums before the shuffle would hold nearly all of a task's pairs and save little;
+    # the number of tasks goes by the pairs instead, whose number follows from the keywords of each url.
+    n = F.col("n").cast("double")
+    made = rows.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.sum(n * (n - 1) / 2)).first()[0] or 0
+    tasks = max(int(results.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(made / TASK_PAIRS))
+    pairs = _pairs(rows, keys).repartition(tasks, "k1", "k2")
+    # Without a group no pair meets twice at a url, so plain counts are distinct.
     pairs = pairs.groupBy("k1", "k2").agg((F.count_distinct("url") if group else F.count("*")).alias("shared")).where(F.col("shared") >= least)
     return pairs.withColumn("band", band(F.col("shared")))
 
@@ -170,20 +179,35 @@ def distance_km(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Colum
     return 2 * EARTH_KM * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
 
 
+def _at_points(rows: DataFrame, name: str, lat: str, lng: str) -> DataFrame:
+    """(lat, lng, block, names) of rows (name, lat, lng): the names at each point, dealt to blocks of POINT_BLOCK on average."""
+    rows = rows.select(F.col(name).alias("name"), F.col("lat").alias(lat), F.col("lng").alias(lng))
+    blocks = rows.groupBy(lat, lng).agg(F.ceil(F.count("*") / POINT_BLOCK).alias("blocks"))
+    dealt = rows.join(blocks, [lat, lng]).withColumn("block", F.pmod(F.xxhash64("name"), F.col("blocks")))
+    return dealt.groupBy(lat, lng, "block").agg(F.collect_list("name").alias(f"{name}s")).drop("block")
+
+
 def within_radius(centres: DataFrame, places: DataFrame, radius_km: float) -> DataFrame:
     """(centre, place, km, rank): places within a radius of each centre, nearest first; centres: centre, lat, lng; places: place, lat, lng.
 
     Points are taken as points of the unit sphere in space, and space is cut into cubes as wide as
     the radius's chord: two points within the radius are in one cube or in neighbouring ones, at the date line
     and the poles as anywhere else. Places go to their cube, centres to theirs and the 26 around it, so the join is on cubes.
+    Each two different points are measured once, however many centres and places stand there; blocks of
+    their names then meet, spread over tasks, and become rows only at the end.
     """
     chord = max(2 * math.sin(min(radius_km / EARTH_KM, math.pi) / 2), 1e-9) * (1 + 1e-9)
     lat, lng = F.radians("lat"), F.radians("lng")
     cube = [F.floor(c / chord).cast("long") for c in (F.cos(lat) * F.cos(lng), F.cos(lat) * F.sin(lng), F.sin(lat))]
-    here = places.select(*[c.alias(n) for c, n in zip(cube, "xyz", strict=True)], "place", F.col("lat").alias("plat"), F.col("lng").alias("plng"))
-    around = centres.select("centre", "lat", "lng", *[c.alias(n) for c, n in zip(cube, "xyz", strict=True)])
+    points = lambda rows: rows.select("lat", "lng").where("lat is not null and lng is not null").distinct().select("lat", "lng", *[c.alias(n) for c, n in zip(cube, "xyz", strict=True)])
+    here = points(places).withColumnsRenamed({"lat": "plat", "lng": "plng"})
+    around = points(centres)
     for n in "xyz":
         around = around.withColumn(n, F.explode(F.sequence(F.col(n) - 1, F.col(n) + 1)))
     km = distance_km(F.col("lat"), F.col("lng"), F.col("plat"), F.col("plng"))
-    near = around.join(here, ["x", "y", "z"]).select("centre", "place", F.round(km, 6).alias("km")).where(F.col("km") <= radius_km)
+    near = around.join(here, ["x", "y", "z"]).select("lat", "lng", "plat", "plng", F.round(km, 6).alias("km")).where(F.col("km") <= radius_km)
+    met = near.join(_at_points(centres, "centre", "lat", "lng"), ["lat", "lng"]).join(_at_points(places, "place", "plat", "plng"), ["plat", "plng"]).select("centres", "places", "km")
+    # A row of blocks becomes up to a million rows: dealt out again by a fixed number of tasks, as few bytes as they are.
+    dealt = met.repartition(int(centres.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    near = dealt.select(F.explode("centres").alias("centre"), "places", "km").select("centre", F.explode("places").alias("place"), "km")
     return near.withColumn("rank", F.row_number().over(Window.partitionBy("centre").orderBy("km", "place")))
