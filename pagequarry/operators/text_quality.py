@@ -125,14 +125,15 @@ def analyse(docs: DataFrame, text: str = "text") -> DataFrame:
 def uniqueness(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, total_words, unique_words, uniqueness_pct): the share of a text's words that no other text of the set has.
 
-    Word occurrences are summed per text before the words are compared, and a word's
-    texts are only counted, so a frequent word is a hot key of one number.
+    A word keeps its first and last text and its number, which each task sums before the words are shuffled: a word is a text's own where the
+    two are one. Totals are counted in place, so no text's words are shuffled once more. Keys are not null; a text without words has no row.
     """
-    words = docs.select(key, F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).alias("word"))
-    per = words.groupBy(key, "word").agg(F.count("*").alias("n"))
-    once = per.groupBy("word").agg(F.count("*").alias("texts")).where("texts = 1").withColumn("own", F.lit(True))
-    joined = per.join(once, "word", "left")
-    out = joined.groupBy(key).agg(F.sum("n").alias("total_words"), F.sum(F.when(F.col("own"), F.col("n")).otherwise(0)).alias("unique_words"))
+    found = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    words = docs.select(key, F.explode(found).alias("word"))
+    own = words.groupBy("word").agg(F.min(key).alias(key), F.max(key).alias("last"), F.count("*").alias("n")).where(F.col(key) == F.col("last"))
+    own = own.groupBy(key).agg(F.sum("n").alias("own"))
+    totals = docs.select(key, F.size(found).cast("long").alias("n")).groupBy(key).agg(F.sum("n").alias("total_words")).where("total_words > 0")
+    out = totals.join(own, key, "left").select(key, "total_words", F.coalesce("own", F.lit(0).cast("long")).alias("unique_words"))
     return out.withColumn("uniqueness_pct", F.round(F.col("unique_words") * 100.0 / F.col("total_words"), 2))
 
 
