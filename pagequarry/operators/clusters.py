@@ -6,10 +6,12 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 from pyspark.sql.window import Window
 
 from pagequarry.functions.stored import written
 
+from . import packed_pairs
 from .components import components
 
 # Shared results from which two keywords belong to one post, one cluster, or link to each other.
@@ -20,6 +22,8 @@ EARTH_KM = 6371.0088
 PAIR_BLOCK = 200
 #: Pairs that one task counts, on average: their counts stay within a few hundred megabytes.
 TASK_PAIRS = 4_000_000
+#: Results that one task sorts by url, on average, and groups of keywords whose pairs are summed to find how uneven they are.
+TASK_RESULTS, LOAD_GROUPS = 2_000_000, 8_192
 #: Names of one point that stand in one row, on average.
 POINT_BLOCK = 1_000
 
@@ -34,6 +38,37 @@ def _pairs(rows: DataFrame, keys: list[str]) -> DataFrame:
     return met.select(F.least("x", "y").alias("k1"), F.greatest("x", "y").alias("k2"), *keys)
 
 
+def _lists(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, block, ks): the different keywords with equal keys, greatest first, in lists of PAIR_BLOCK; only the last list may be shorter."""
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows.count() / TASK_RESULTS))
+    place = F.dense_rank().over(Window.partitionBy(*keys).orderBy(F.desc("keyword"))) - 1
+    known = rows.where(" and ".join(f"`{k}` is not null" for k in ("keyword", *keys)))
+    dealt = known.repartition(tasks, *keys).withColumn("block", F.floor(place / PAIR_BLOCK))
+    return dealt.groupBy(*keys, "block").agg(F.sort_array(F.collect_set("keyword"), asc=False).alias("ks"))
+
+
+def _counted(rows: DataFrame, keys: list[str], least: int) -> DataFrame:
+    """(k1, k2, shared) of the keywords k1 < k2, whole numbers: with how many equal keys they meet, if at least so many.
+
+    The keywords of each url are listed once and stored; lists become pairs only inside a task, which
+    packs them for the tasks that count them (three bytes a pair or less). A keyword with more pairs than a task should count is spread over several.
+    """
+    lists = written(_lists(rows, keys), "result-lists")
+    # In its url's falling order a keyword stands behind as many others as it has pairs there as the lesser one.
+    placed = lists.select("block", F.posexplode("ks").alias("place", "keyword"))
+    loads = placed.groupBy(F.pmod(F.xxhash64("keyword"), F.lit(LOAD_GROUPS)).alias("g")).agg(F.sum(F.col("block") * PAIR_BLOCK + F.col("place")).alias("n"), F.max("block").alias("last"))
+    made, most, last = loads.agg(F.sum("n"), F.max("n"), F.max("last")).first()
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil((made or 0) / TASK_PAIRS))
+    split, at_once = max(1, math.ceil((most or 0) / TASK_PAIRS)), TASK_PAIRS
+    met = lists.select(F.col("ks").alias("xs"), F.lit(None).cast("array<bigint>").alias("ys"))
+    if last:
+        further = lists.where("block > 0").select(*keys, F.col("ks").alias("xs"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("block") - 1)).alias("block"))
+        full = lists.where(F.size("ks") == PAIR_BLOCK).select(*keys, F.col("ks").alias("ys"), "block")
+        met = met.union(further.join(full, [*keys, "block"]).select("xs", "ys"))
+    packed = met.mapInArrow(lambda batches: packed_pairs.pack(batches, tasks, split), packed_pairs.PACKED)
+    return packed.repartitionById(tasks, "task").mapInArrow(lambda batches: packed_pairs.count(batches, at_once, least), packed_pairs.COUNTED)
+
+
 #: Most values that a summary of frequent items lists, and its error as a share of rows * 1 / slots.
 MOST_LISTED, SKETCH_ERROR = 10_000, 7
 
@@ -59,14 +94,22 @@ def result_overlap(results: DataFrame, group: str | None = None, ubiquitous: int
 
     Results whose url (or ``domain``, an expression over url) is on more than ``ubiquitous`` keywords are left out of the pairing: they
     say nothing of any two of them. The keywords of a url are dealt to blocks, and
-    each pair of blocks is a group of the join, so a frequent url spreads over tasks.
+    each pair of blocks is a group of the join, so a frequent url spreads over tasks. Pairs of whole
+    numbers without a group travel packed, in lists; others as rows, each with its url.
     """
     keys = ["url", *([group] if group else [])]
-    rows = results.select("keyword", *keys).distinct()
+    kind = results.schema["keyword"].dataType
+    packs = not group and isinstance(kind, IntegralType)
+    rows = results.select("keyword", *keys)
+    if ubiquitous or not packs:
+        rows = rows.distinct()
     if ubiquitous:
         named = rows.withColumn("__of", domain if domain is not None else F.col("url"))
         heavy = written(heavy_hitters(named.select("keyword", "__of").distinct(), "__of", ubiquitous).select("__of"), "heavy")
         rows = named.join(heavy, "__of", "left_anti").drop("__of")
+    if packs:
+        pairs = _counted(rows.withColumn("keyword", F.col("keyword").cast("long")), keys, least)
+        return pairs.select(F.col("k1").cast(kind), F.col("k2").cast(kind), "shared", band(F.col("shared")).alias("band"))
     # Pairs mostly meet once, so sums before the shuffle would hold nearly all of a task's pairs and save little;
     # the number of tasks goes by the pairs instead, whose number follows from the keywords of each url.
     n = F.col("n").cast("double")
